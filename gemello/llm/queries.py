@@ -7,16 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gemello.llm import bpe, chat_format, media_iso, token_counts
+from gemello.llm import bpe, chat_format, media_iso, ngram_rules, source_mix, token_counts
 from gemello.llm.text import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judged(read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = source_mix.sized(read(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return source_mix.mix(sized).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_iso.digests(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -34,7 +43,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str = public_token
 
 
 QUERIES: dict[str, Query] = {
+    "op4_ngram_rules": op4_ngram_rules,
     "op5_bpe": op5_bpe,
+    "op7_source_mix": op7_source_mix,
     "op8_media": op8_media,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
