@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gemello.llm import bpe, chat_format, media_iso, ngram_rules, source_mix, token_counts
+from gemello.llm import bpe, chat_format, media_iso, minhash_dedup, ngram_rules, source_mix, token_counts
 from gemello.llm.text import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.deduplicated(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judged(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -43,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str = public_token
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_ngram_rules": op4_ngram_rules,
     "op5_bpe": op5_bpe,
     "op7_source_mix": op7_source_mix,
@@ -51,6 +56,24 @@ QUERIES: dict[str, Query] = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS sh
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        k AS (SELECT sh, row_number() OVER () AS h FROM s GROUP BY sh HAVING count(*) > 1),
+        t AS (SELECT s.doc_id, k.h FROM s JOIN k USING (sh)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (
+            SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen),
+        least AS (SELECT node, min(seen) AS c FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.c, d.doc_id) AS component_id, coalesce(l.c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l ON l.node = d.doc_id""",
     "op9_chat": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
