@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gemello.llm import bpe, chat_format, media_iso, minhash_dedup, ngram_rules, source_mix, token_counts
+from gemello.llm import bpe, chat_format, license_scan, media_iso, minhash_dedup, ngram_rules, source_mix, token_counts
 from gemello.llm.text import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path
     return bpe.digests(read(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = source_mix.sized(read(spark, sf_dir, "documents"), ["doc_id", "source"])
     return source_mix.mix(sized).taken().select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_ngram_rules": op4_ngram_rules,
     "op5_bpe": op5_bpe,
+    "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_media": op8_media,
     "op9_chat": op9_chat,
