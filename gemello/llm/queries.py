@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gemello.llm import bpe, chat_format, license_scan, media_iso, minhash_dedup, ngram_rules, source_mix, token_counts
+from gemello.llm import bpe, chat_format, license_scan, media_iso, minhash_dedup, ngram_rules, quality_mil, source_mix, token_counts, toxicity_crf
 from gemello.llm.text import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.deduplicated(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_crf.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judged(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -52,6 +60,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str = public_token
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_mil": op2_quality_mil,
+    "op3_toxicity_crf": op3_toxicity_crf,
     "op4_ngram_rules": op4_ngram_rules,
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
