@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gemello.plans import candidates, groups
+from gemello.plans import candidates, groups, merges, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (groups, candidates):
+for module in (groups, candidates, merges, scans):
     for name, (query, sql) in module.CATALOG.items():
         QUERIES[name] = query
         if sql:

@@ -110,7 +110,7 @@ FRAMES = """frames AS (
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change log: events in order of seq, about an entity, of a kind, with a value and a payload."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("entity"), F.col("event_type").alias("kind"), "value", "props", "ts")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("entity"), F.col("event_type").alias("kind"), "value", "props", F.col("ts").cast("timestamp").alias("ts"))
 
 
 CHANGES = "changes AS (SELECT event_id AS seq, user_id AS entity, event_type AS kind, value, props, ts FROM events)"

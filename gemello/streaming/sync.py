@@ -83,7 +83,9 @@ def fair_batch(queue: DataFrame, table: str, order: list[str], limit: int, first
     """The next `limit` rows of a queue, by turns over its tables, which begin with number `first` of them."""
     w = Window.partitionBy(table).orderBy(*order)
     rows = queue.withColumn("turn", F.row_number().over(w))
-    at = F.lit(0)
-    for i, name in enumerate(tables or []):
+    if not tables:
+        return rows.orderBy("turn", *order).limit(limit)
+    at = F.lit(len(tables))
+    for i, name in enumerate(tables):
         at = F.when(F.col(table) == name, (i - first) % len(tables)).otherwise(at)
-    return rows.orderBy("turn", at, *order).limit(limit)
+    return rows.withColumn("at", at).orderBy("turn", "at", *order).limit(limit)
