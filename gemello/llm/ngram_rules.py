@@ -184,7 +184,8 @@ class Model:
             p, there = _look(*self.lower[k], _hashed(g, 8 + k))
             done = np.where(open_ & there, np.log(np.maximum(weight * p, 1e-30)), done)
             open_ &= ~there
-        done = np.where(open_, np.log(np.maximum(weight / (1 << BITS), 1e-30)), done)
+        unseen = self.back[-1][1][0] / (1 << BITS)  # of the order without a context
+        done = np.where(open_, np.log(np.maximum(weight * unseen, 1e-30)), done)
         out[miss] = done
         return out
 
@@ -313,7 +314,7 @@ def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WI
 
     def among(own: list[str | None]):
         names = [x for x in own if x is not None]
-        return F.coalesce(F.col("lang").cast("string").isin(names), F.lit(None in own))
+        return F.when(F.col("lang").isNull(), F.lit(None in own)).otherwise(F.col("lang").cast("string").isin(names))
 
     for own in groups:  # the first also takes languages without any n-gram
         others = [x for g in groups if g is not own for x in g]
