@@ -7,13 +7,14 @@ minimum the low BITS bits are kept in a packed signature. Classes that share a b
 1. Each bucket's smallest representative (its hub) is paired with the other members. Pairs whose similarity, estimated
    from bit counts of the signatures and corrected for chance collisions, is out of reach are set aside; the others are
    confirmed on the full sets. Confirmed links give components.
-2. What is left of a bucket, without its hub, still matters only where members lie in different components. Such
-   buckets are cut into tiles of bounded size, in which all pairs across components are estimated at once; those in
-   reach are confirmed too, and the links of both steps give the final components.
+2. What is left of a bucket, without its hub, still matters only where members lie in different components. Those
+   outside the bucket's largest component are compared with that component's members, once however many buckets they
+   share, and with each other. Both go tile by tile: blocks of bounded size on either side carry their full sets, and
+   only links leave a tile. The links of both steps give the final components.
 
 So every candidate pair is either confirmed, out of reach, or within one component already; no bucket is capped and no
 group is collected. A pair of similarity 0.8 shares no bucket with a probability below 5e-6, and is estimated below
-REACH with one below 1e-7. Intermediate tables are written to the shared folder of spark.checkpoint.dir.
+reach with one below 1e-7. Intermediate tables are written to the shared folder of spark.checkpoint.dir.
 
 Defined results: texts without words have an empty set and are linked with nothing; with fewer words than a shingle has,
 the whole sequence is one; rows that share a doc_id are one document; rows without a doc_id aren't linked, they come
@@ -35,7 +36,8 @@ from gemello.llm.text import appended, delete, flat, hashes, lower, mix, shared_
 BANDS, ROWS, BITS = 40, 6, 4
 #: Estimates this far below the threshold, in standard deviations of the estimator, are out of reach.
 SIGMAS = 5.5
-TILE = 128
+#: A side of a tile holds about so many sets at most, and so many shingles.
+TILE, TILE_SHINGLES = 256, 1 << 16
 SEED = 20240229
 
 
@@ -181,10 +183,9 @@ def _bitset(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets of their documents."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bits = documents.sparkSession.sparkContext.broadcast(_bitset(ids, 2 * pairs.count()))
+def _wanted(documents: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of the documents with these ids, and of few others: what is not wanted goes before any shuffle."""
+    bits = documents.sparkSession.sparkContext.broadcast(_bitset(ids, n))
 
     def wanted(batches):
         have = bits.value
@@ -192,6 +193,14 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int)
             h = mix(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(8 * len(have) - 1)
             yield batch.filter(pa.array((have[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1))
 
+    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(wanted, documents.select("doc_id", "text").schema)
+
+
+def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets of their documents."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = _wanted(documents, ids, 2 * pairs.count())
+
     def compare(cols: list[pa.Array]) -> list:
         sa, sb = shingles(cols[0], size), shingles(cols[1], size)
         ok = np.zeros(len(sa), bool)
@@ -202,7 +211,6 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int)
                 ok[i] = 100 * shared >= percent * (len(both) - shared)
         return [ok]
 
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(wanted, documents.select("doc_id", "text").schema)
     ta, tb = (texts.select(F.col("doc_id").alias(f"id{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.join(tb, pairs["b"] == tb["idb"]).join(ta, F.col("a") == F.col("ida"))
     return appended(both, ["ta", "tb"], [T.StructField("linked", T.BooleanType())], compare, ["a", "b"]).where("linked").select("a", "b").distinct()
@@ -231,31 +239,72 @@ def components(links: DataFrame, where: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in reach of buckets' members (key, rep, comp, signature) in different components, tile by tile."""
-    least = reach(percent)
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias("k"), F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("cuts"))
-    rows = rest.join(sizes, F.col("key") == F.col("k")).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), cuts) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tile = [F.col("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
-    tiles = rows.groupBy(*tile).agg(F.collect_list(F.struct("rep", "comp", "mine", "signature")).alias("rows"))
+def _cuts(n, shingles_):
+    """Into how many blocks a side of a tile is cut."""
+    return F.greatest(F.ceil(n / TILE), F.ceil(shingles_ / TILE_SHINGLES)).cast("int")
+
+
+def _block(cuts: str):
+    return F.expr(f"cast(pmod(xxhash64(rep), {cuts}) as int)")
+
+
+def _tiles(placed: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (tile, side, rep) of all comparisons that members (key, rep, comp) of buckets still need; counts has rep and n."""
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), F.col("top.comp").alias("main"))
+    others = placed.join(main, F.col("key") == F.col("k")).where("comp != main").select("key", "rep", "main")
+    others = others.join(counts, "rep")
+    # against the members of the largest component
+    left = others.select("main", "rep", "n").distinct()
+    mains = left.groupBy("main").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("qn"))
+    own = roots.select(F.col("node").alias("rep"), F.col("root").alias("main")).union(mains.select(F.col("main").alias("rep"), "main")).distinct()
+    right = own.join(mains, "main").join(counts, "rep")
+    sides = right.groupBy("main").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("rn"), F.first("q").alias("q"), F.first("qn").alias("qn"))
+    sides = sides.select(F.col("main").alias("of"), _cuts(F.col("q"), F.col("qn")).alias("cut0"), _cuts(F.col("r"), F.col("rn")).alias("cut1"))
+    tile = F.struct(F.lit(0).alias("kind"), F.col("main").alias("of"), F.col("i"), F.col("j")).alias("tile")
+    one = left.join(sides, F.col("main") == F.col("of")).withColumn("i", _block("cut0")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cut1") - 1))).select(tile, F.lit(0).alias("side"), "rep")
+    two = right.join(sides, F.col("main") == F.col("of")).withColumn("j", _block("cut1")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cut0") - 1))).select(tile, F.lit(1).alias("side"), "rep")
+    # with each other
+    rest = others.groupBy("key").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("qn")).where("q > 1").select(F.col("key").alias("of"), _cuts(F.col("q"), F.col("qn")).alias("cut"))
+    rows = others.join(rest, F.col("key") == F.col("of")).withColumn("mine", _block("cut")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    tile = F.struct(F.lit(1).alias("kind"), F.col("key").alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("tile")
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    return one.unionByName(two).unionByName(rows.select(tile, side.alias("side"), "rep")).distinct()
+
+
+def _links_of_tiles(documents: DataFrame, tiles: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) in tiles: rows of side 0 against side 1, rows of side 2 against each other, all on full sets."""
+    ids = tiles.select(F.col("rep").alias("id")).distinct()
+    texts = _wanted(documents, ids, tiles.count())
+    sets = appended(texts, ["text"], [T.StructField("shingles", T.BinaryType())], lambda cols: [[x.tobytes() for x in shingles(cols[0], size)]], ["doc_id"])
+    full = tiles.join(sets, F.col("rep") == F.col("doc_id")).groupBy("tile").agg(F.collect_list(F.struct("side", "rep", "shingles")).alias("rows"))
+
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
+        held = [(r["side"], r["rep"], np.frombuffer(r["shingles"], np.uint64)) for r in rows]
+        left = [x for x in held if x[0] != 1]
+        right = [x for x in held if x[0] != 0]
+        if not left or not right:
+            return []
+        joined = np.concatenate([x[2] for x in right])
+        n = np.array([len(x[2]) for x in right])
+        starts = np.cumsum(n) - n
+        reps = np.array([x[1] for x in right])
+        out = []
+        for _, rep, own in left:
+            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+            shared = np.add.reduceat((own[at] == joined).astype(np.int64), starts)
+            near = np.flatnonzero((100 * shared >= percent * (n + len(own) - shared)) & (reps != rep))
+            out += [(min(rep, x), max(rep, x)) for x in reps[near].tolist()]
+        return out
 
     def run(batches):
         for batch in batches:
-            for i, j, own in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if len(own) < 2:
-                    continue
-                rep, comp, mine = (np.array([r[f] for r in own], np.int64) for f in ("rep", "comp", "mine"))
-                sig = np.frombuffer(b"".join(r["signature"] for r in own), np.uint8).reshape(len(own), -1)
-                left = np.arange(len(own)) if i == j else np.flatnonzero(mine == i)
-                for x in left.tolist():
-                    others = comp != comp[x]
-                    others &= (np.arange(len(own)) > x) if i == j else (mine == j)
-                    y = np.flatnonzero(others)
-                    y = y[estimated(sig[x], sig[y]) >= least]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long").where("a != b").distinct()
+            for i in range(batch.num_rows):
+                if found := set(links(batch.column(0)[i].as_py())):
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return full.select("rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -274,12 +323,10 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     links = written(_confirmed(documents, pairs, size, percent), f"{where}/links1")
     roots = components(links, f"{where}/components1")
     placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")).distinct()
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    rest = placed.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "comp")
-    signatures = filled.select(F.col("doc_id").alias("id"), "signature")
-    more = written(_across(rest.join(signatures, F.col("rep") == F.col("id")).select("key", "rep", "comp", "signature"), percent), f"{where}/pairs2")
-    if more.limit(1).count():
-        found = written(_confirmed(documents, more, size, percent), f"{where}/links2")
+    counts = filled.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
+    tiles = written(_tiles(placed, roots, counts), f"{where}/tiles")
+    found = written(_links_of_tiles(documents, tiles, size, percent), f"{where}/links2")
+    if found.limit(1).count():
         roots = components(links.union(found), f"{where}/components2")
     of_class = filled.select("doc_id", "fingerprint").join(classes, "fingerprint").select(F.col("doc_id").alias("id"), "rep")
     # rows that share a doc_id are one document, whatever their texts: the smallest label holds for all
