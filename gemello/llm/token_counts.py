@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gemello.llm.bpe import loaded
-from gemello.llm.text import appended
+from gemello.llm.text import appended, shared_dir, written
 
 BLOCK = 1024
 
@@ -26,8 +26,9 @@ def lengths(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 
 def histogram(counted: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """length and n_docs."""
-    return counted.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """length and n_docs, written to the shared folder: it is small, and the texts behind it are encoded once."""
+    made = counted.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return written(made, shared_dir(counted.sparkSession))
 
 
 def limits(hist: DataFrame) -> DataFrame:
