@@ -113,7 +113,8 @@ class Mix:
         b = self.block
         d = self.documents
         pieces = d.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
-        s = self.slots.select(F.col("sid").alias("s_sid"), F.col("block").alias("s_block"), "words")
+        # a table made by Python has no size that the planner could know: the hint keeps it from being broadcast
+        s = self.slots.select(F.col("sid").alias("s_sid"), F.col("block").alias("s_block"), "words").hint("merge")
         got = pieces.join(s, (pieces["sid"] == s["s_sid"]) & (pieces["block"] == s["s_block"]))
         lo = F.greatest(F.col("start"), F.col("block") * b)
         hi = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
@@ -165,7 +166,7 @@ def schedule(spark, sources: list[Source], block: int = BLOCK_WORDS) -> DataFram
     got = {r["sid"]: r["n"] for r in counts.groupBy("sid").agg(F.sum("n").alias("n")).collect()}
     about = spark.createDataFrame([(i, int(need[i]), int(blocks[i]), int(ends[i]), int(last[i])) for i in range(len(sources))], "s2 int, need long, blocks long, tail long, last_words long")
     slots = chunks.mapInArrow(ranked, "chunk long, slot long, sid int, rank long")
-    slots = slots.join(offsets, (F.col("chunk") == F.col("c")) & (F.col("sid") == F.col("s"))).select("slot", "sid", (F.col("rank") + F.col("before")).alias("rank"))
+    slots = slots.hint("merge").join(offsets.hint("merge"), (F.col("chunk") == F.col("c")) & (F.col("sid") == F.col("s"))).select("slot", "sid", (F.col("rank") + F.col("before")).alias("rank"))
     short = [(i, got.get(i, 0), int(need[i])) for i in range(len(sources)) if got.get(i, 0) < need[i]]
     if short:
         more = spark.createDataFrame(short, "sid int, lo long, hi long").select((F.lit(n) + F.col("sid")).cast("long").alias("slot"), "sid", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("rank"))
