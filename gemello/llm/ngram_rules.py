@@ -8,7 +8,9 @@ their interpolated probabilities, which has at most 64 ** ORDER entries a langua
 is checked before it is broadcast; beyond it languages are scored one after another, each with its own model).
 A document's perplexity is judged by its language's band: the median log-perplexity of all its documents, plus and minus
 WIDE times the spread between the quartiles and the median, times 1 + SHORT / words as a mean over few words varies
-more. Medians and quartiles come from exact counts in bins.
+more. Medians and quartiles come from exact counts in bins. A document that looks odd to its own language's model may
+hold passages of other languages: its segments are then also scored by the other models, each against that model's own
+mean, and the upper bound holds for the mean of the best of them (`best_perplexity`).
 
 Defined results: null and empty texts have no words, counts of 0 and no perplexity (never rejected by the band, but by
 the base rule); a null language is one of its own; repeated rows are documents of their own; an empty table gives an
@@ -34,6 +36,7 @@ FLUSH = 1 << 20
 BIN = 0.005
 WIDE = (8.0, 8.0)
 SHORT = 100.0
+ODD, SEGMENT = 0.1, 200
 #: Symbols: 0 pads the beginning; letters 1-26, digit 27, space 28, line end 29, then marks, then hashed others.
 MARKS = ".,;:!?'\"()-/#*$%&|<>"
 
@@ -168,6 +171,7 @@ class Model:
     logs: np.ndarray
     lower: list[tuple[np.ndarray, np.ndarray]]  # for each lower order: hashes of n-grams, interpolated probabilities
     back: list[tuple[np.ndarray, np.ndarray]]  # for each order from the highest: hashes of contexts, weights of the next lower order
+    mean: float  # log-perplexity of the counts that the model comes from
 
     def log_prob(self, gram: np.ndarray) -> np.ndarray:
         """Natural log of P(last symbol | the symbols before it) of packed n-grams, backing off where unseen."""
@@ -240,7 +244,7 @@ def fitted(gram: np.ndarray, n: np.ndarray) -> Model:
     keys, logs = _sorted(_hashed(probs[0][0], 0), np.log(probs[0][1]))
     lower = [_sorted(_hashed(g, 8 + k), p) for k, (g, p) in enumerate(probs[1:])]
     back = [_sorted(_hashed(c, 1 + k), w) for k, (c, w) in enumerate(weights)]
-    return Model(keys, logs, lower, back)
+    return Model(keys, logs, lower, back, float(-(n * np.log(probs[0][1])).sum() / max(n.sum(), 1)))
 
 
 def models(grams_of: DataFrame) -> dict[str | None, Model]:
@@ -257,7 +261,7 @@ def models(grams_of: DataFrame) -> dict[str | None, Model]:
 
 
 def scored(documents: DataFrame, model: dict[str | None, Model], keep: list[str], model_fields: bool = True) -> DataFrame:
-    """documents[keep] with the rules' counts and log_perplexity (a mean over the text's symbols; null without a model or text)."""
+    """documents[keep] with the rules' counts, log_perplexity (a mean over the text's symbols; null without a model or text) and best_perplexity."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(cols: list[pa.Array]) -> list:
@@ -276,10 +280,29 @@ def scored(documents: DataFrame, model: dict[str | None, Model], keep: list[str]
         sums = np.append(0, np.cumsum(total))
         n = np.diff(at)
         mean = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
-        return [*rules(cols[0]), pa.array(mean, mask=~(known & (n > 0)))]
+        best = mean.copy()
+        own_mean = np.array([m.mean if (m := shared.value.get(x)) else np.inf for x in langs])
+        odd = np.flatnonzero(known & (n > 0) & (mean > own_mean + ODD))
+        if len(odd):
+            best[odd] = own_mean[odd] + _best_segments(packed, at[odd], n[odd], list(shared.value.values()))
+        none = ~(known & (n > 0))
+        return [*rules(cols[0]), pa.array(mean, mask=none), pa.array(np.minimum(best, mean), mask=none)]
 
     d = documents.select(*dict.fromkeys([*keep, "text", "lang"])).withColumn("lang", F.col("lang").cast("string"))
-    return appended(d, ["text", "lang"], [*RULES, T.StructField("log_perplexity", T.DoubleType())], work, [*dict.fromkeys([*keep, "lang"])])
+    fields = [*RULES, T.StructField("log_perplexity", T.DoubleType()), T.StructField("best_perplexity", T.DoubleType())]
+    return appended(d, ["text", "lang"], fields, work, [*dict.fromkeys([*keep, "lang"])])
+
+
+def _best_segments(packed: np.ndarray, first: np.ndarray, size: np.ndarray, all_models: list[Model]) -> np.ndarray:
+    """Of texts given by their n-grams' ranges, the mean over segments of the least excess over a model's own mean."""
+    where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    gram, inverse = np.unique(packed[np.repeat(first, size) + where], return_inverse=True)
+    begin = np.flatnonzero(where % SEGMENT == 0)
+    length = np.diff(np.append(begin, len(where)))
+    excess = [-np.add.reduceat(m.log_prob(gram)[inverse], begin) - m.mean * length for m in all_models]
+    least = np.append(0, np.cumsum(np.min(excess, axis=0)))
+    ends = np.cumsum(-(-size // SEGMENT))
+    return (least[ends] - least[ends - -(-size // SEGMENT)]) / size
 
 
 def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE) -> list[tuple[str | None, float, float, float]]:
@@ -298,7 +321,7 @@ def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE) -> list[t
 
 
 def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WIDE, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """documents[keep] with the rules' counts, log_perplexity, base_failed, in_band and kept."""
+    """documents[keep] with the rules' counts, log_perplexity, best_perplexity, in_band, base_failed and kept."""
     from gemello.llm.text import shared_dir, written
 
     spark = documents.sparkSession
@@ -329,7 +352,8 @@ def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WI
     known = marked.join(frame, marked["lang"].eqNullSafe(frame["band_lang"]), "left")
     room = 1 + SHORT / F.greatest(F.col("n_words"), F.lit(1))
     off = F.col("log_perplexity") - F.col("middle")
-    in_band = F.coalesce(off.between(-F.col("below") * room, F.col("above") * room), F.lit(True))
+    over = F.col("best_perplexity") - F.col("middle")
+    in_band = F.coalesce((off >= -F.col("below") * room) & (over <= F.col("above") * room), F.lit(True))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    columns = [*keep, *(f.name for f in RULES), "log_perplexity"]
+    columns = [*keep, *(f.name for f in RULES), "log_perplexity", "best_perplexity"]
     return known.select(*columns, in_band.alias("in_band"), failed.alias("base_failed"), (~failed & in_band).alias("kept"))

@@ -73,6 +73,21 @@ def test_rules_judge_documents(spark):
     assert ngram_rules.judged(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_passages_of_other_languages():
+    rng = random.Random(4)
+    prose = lambda syllables, n: [" ".join("".join(rng.choices(syllables, k=2)) for _ in range(120)) for _ in range(n)]
+    one, two = prose(["ta", "ro", "mi", "len", "so", "ka"], 60), prose(["ouz", "ez", "vuy", "wyx"], 60)
+
+    def model(texts):
+        return ngram_rules.fitted(*np.unique(ngram_rules.grams(pa.array(texts))[0], return_counts=True))
+
+    models = [model(one), model(two)]
+    packed, at = ngram_rules.grams(pa.array([one[0] + " " + two[0], " ".join("".join(rng.choices("qxz9&%$", k=6)) for _ in range(120)), one[1]]))
+    alone = [-models[0].log_prob(packed[a:b]).mean() - models[0].mean for a, b in zip(at, at[1:])]
+    best = ngram_rules._best_segments(packed, at[:-1], np.diff(at), models)
+    assert alone[0] > 0.5 and best[0] < 0.3 and best[1] > 1 and abs(best[2]) < 0.1
+
+
 def test_license_scan(spark):
     mit = dict(license_scan.TEMPLATES[2:3])["mit"]
     words = mit.split()
