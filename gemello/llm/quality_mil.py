@@ -110,7 +110,9 @@ def fitted(texts: list[str], labels: list[int]) -> Model | None:
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return None
-    x, bag = passages(pa.array(texts, pa.string()))
+    parts = [passages(pa.array(texts[i : i + 128], pa.string())) for i in range(0, len(texts), 128)]
+    x = np.concatenate([p[0] for p in parts])
+    bag = np.cumsum(np.concatenate([[0], *[np.diff(p[1]) for p in parts]]))
     model = Model(x.mean(0), x.std(0) + 1e-3, {})
     x = model.encoded(x)
     rng = np.random.default_rng(SEED)

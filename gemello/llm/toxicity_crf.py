@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 from gemello.llm.labelled import held_out, sample
 from gemello.llm.text import appended, flat, hashes, mix, runs
 
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1200, 0: 2400}
 SENTENCE = 64
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 CHANCE = 0.05
 STEPS, RATE, DECAY = 30, 0.5, 2e-4
+LEAST_SEEN = 3
 TOXIC, FLOOR = 0.5, 5.0
 
 _TOKEN = np.zeros(256, bool)
@@ -81,6 +82,20 @@ def tokens(col: pa.Array) -> Tokens:
     return Tokens(data, offsets, starts, ends, at, kind, features, first, np.diff(np.append(first, len(starts))))
 
 
+def many_tokens(texts: list[str], piece: int = 128) -> Tokens:
+    """The tokens of many texts, taken a piece at a time; without their bytes."""
+    parts = [tokens(pa.array(texts[i : i + piece], pa.string())) for i in range(0, len(texts), piece)]
+    _, example, kind = np.unique(np.concatenate([t.features[:, 0] for t in parts]), return_index=True, return_inverse=True)
+    features = np.concatenate([t.features for t in parts])[example]
+    types = np.cumsum([0, *[len(t.features) for t in parts]])
+    count = np.cumsum([0, *[len(t.kind) for t in parts]])
+    own = np.concatenate([kind[a + t.kind] for a, t in zip(types, parts)]).astype(np.int32)
+    at = np.concatenate([[0], *[t.at[1:] + n for n, t in zip(count, parts)]])
+    first = np.concatenate([t.first + n for n, t in zip(count, parts)])
+    empty = np.zeros(0, np.int64)
+    return Tokens(np.zeros(0, np.uint8), empty, empty, empty, at, own, features, first, np.concatenate([t.size for t in parts]))
+
+
 def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token, the probability of the toxic state; of each state pair, the expected number of moves.
 
@@ -168,15 +183,26 @@ def summed(t: Tokens, p: np.ndarray) -> np.ndarray:
 
 def token_labels(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token, whether it is toxic; of each text, whether its label is explained."""
-    doc = np.repeat(np.arange(len(toxic)), np.diff(t.at))
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(t.at))
     n = len(t.features)
     pairs = np.unique(doc * np.int64(n) + t.kind)
-    doc_of, kind_of = pairs // n, pairs % n
-    keys, place = np.unique(t.features.reshape(-1), return_inverse=True)
-    place = place.reshape(t.features.shape)
-    # each feature once a text
-    both = np.unique((doc_of[:, None] * np.int64(len(keys)) + place[kind_of]).reshape(-1))
-    doc_of, key_of = both // len(keys), both % len(keys)
+    doc_of, kind_of = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+    del pairs
+    bad_type = np.zeros(n, bool)
+    bad_type[kind_of[toxic[doc_of]]] = True
+    # only features of toxic texts can be chosen; each counts once a text, and a column of them is taken at a time
+    keys = np.unique(t.features[bad_type].reshape(-1)) if n else np.zeros(0, np.uint64)
+    place = np.empty(t.features.shape, np.int32)
+    docs, found = [], []
+    for i in range(t.features.shape[1]):
+        at = np.minimum(np.searchsorted(keys, t.features[:, i]), max(len(keys) - 1, 0))
+        place[:, i] = np.where(keys[at] == t.features[:, i], at, -1) if len(keys) else -1
+        own = place[kind_of, i]
+        both = np.unique(doc_of[own >= 0] * np.int64(max(len(keys), 1)) + own[own >= 0])
+        docs.append((both // max(len(keys), 1)).astype(np.int32))
+        found.append((both % max(len(keys), 1)).astype(np.int32))
+    doc_of, key_of = np.concatenate(docs), np.concatenate(found)
+    del docs, found, kind_of
     none = keys == 0  # stands for a beginning that the word doesn't go beyond
     chosen = np.zeros(len(keys), bool)
     explained = ~toxic
@@ -199,15 +225,15 @@ def token_labels(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best = found & (gain >= 0.5 * gain.max())
         chosen |= best
         explained[doc_of[chosen[key_of]]] = True
-    labels = chosen[place].any(1)[t.kind] & toxic[doc]
+    labels = (chosen[place] & (place >= 0)).any(1)[t.kind] & toxic[doc] if len(keys) else np.zeros(len(t.kind), bool)
     return labels, explained
 
 
 def headed(texts: list[str], y: np.ndarray, tagger: Model) -> np.ndarray:
     """The weights of the document score, by Newton's method with a ridge; both labels weigh the same up to a fourfold."""
     parts = []
-    for i in range(0, len(texts), 256):
-        t = tokens(pa.array(texts[i : i + 256], pa.string()))
+    for i in range(0, len(texts), 128):
+        t = tokens(pa.array(texts[i : i + 128], pa.string()))
         parts.append(summed(t, tagger.marginals(t)))
     x, y = np.concatenate(parts), y.astype(float)
     weight = np.where(y == 1, min(4.0, (1 - y.mean()) / max(y.mean(), 1e-9)), 1.0)
@@ -236,7 +262,7 @@ def fitted(texts: list[str], toxic: list[int]) -> Model | None:
 def tagger(texts: list[str], y: np.ndarray) -> Model | None:
     if not y.any():
         return None
-    t = tokens(pa.array(texts, pa.string()))
+    t = many_tokens(texts)
     labels, explained = token_labels(t, y)
     doc = np.repeat(np.arange(len(y)), np.diff(t.at))
     # sentences of explained texts; of clean texts as many sentences as it takes to know the common words
@@ -247,7 +273,11 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
     kind, truth = t.kind[own], labels[own].astype(float)
     start = np.cumsum(size) - size
     keys, place = np.unique(t.features.reshape(-1), return_inverse=True)
-    place = place.reshape(t.features.shape)
+    width = t.features.shape[1]
+    often = np.bincount(place, np.repeat(np.bincount(t.kind, minlength=len(t.features)), width), len(keys)) >= LEAST_SEEN
+    often[keys == 0] = False
+    place = np.where(often, np.cumsum(often), 0)[place].astype(np.int32).reshape(t.features.shape)  # 0: no feature
+    keys = np.append(np.uint64(0), keys[often])
     w, bias, move = np.zeros(len(keys)), -4.0, np.zeros((2, 2))
     gw, gb, gm = np.full(len(keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     before = np.append(0, truth[:-1]).astype(int)
@@ -255,12 +285,11 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
     seen = np.zeros((2, 2))
     np.add.at(seen, (before, truth.astype(int)), 1)
     scale = 1 / max(truth.sum(), 1)
-    width = place.shape[1]
     for _ in range(STEPS):
         p, pairs = marginals((bias + w[place].sum(1))[kind], start, size, move)
         miss = np.bincount(kind, (truth - p) * scale, len(t.features))
         grad = np.bincount(place.reshape(-1), np.repeat(miss, width), len(keys)) - DECAY * w
-        grad[keys == 0] = 0
+        grad[0] = 0
         gw += grad * grad
         w += RATE * grad / np.sqrt(gw)
         b = miss.sum()
@@ -271,6 +300,7 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
         gm += mg * mg
         move += 0.2 * RATE * mg / np.sqrt(gm)
     keep = np.abs(w) > 1e-3
+    keep[0] = False
     return Model(keys[keep], w[keep], bias, move)
 
 
