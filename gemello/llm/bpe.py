@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gemello.llm.text import appended, flat, hashes
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 NONE = np.iinfo(np.int64).max
 #: Classes of code points.
 WHITE, LETTER, NUMBER, OTHER = range(4)

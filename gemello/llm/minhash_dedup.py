@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import appended, delete, flat, hashes, lower, mix, shared_dir, words, written
+from gemello.llm.text import appended, delete, flat, hashes, lower, mix, release, shared_dir, words, written
 
 BANDS, ROWS, BITS = 40, 6, 4
 #: Estimates this far below the threshold, in standard deviations of the estimator, are out of reach.
@@ -303,6 +303,7 @@ def _links_of_tiles(documents: DataFrame, tiles: DataFrame, size: int, percent:
                 if found := set(links(batch.column(0)[i].as_py())):
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release()
 
     return full.select("rows").mapInArrow(run, "a long, b long").distinct()
 

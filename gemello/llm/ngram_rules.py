@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import SPACE, appended, flat, hashes, mix, runs, slices, words
+from gemello.llm.text import SPACE, appended, flat, hashes, mix, release, runs, slices, words
 
 ORDER = 4
 BITS = 6
@@ -158,6 +158,7 @@ def counts(documents: DataFrame) -> DataFrame:
                 if sum(len(g) for g, _ in held.values()) > FLUSH:
                     yield from out()
         yield from out()
+        release()
 
     parts = documents.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

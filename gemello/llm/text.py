@@ -6,6 +6,7 @@ batch size; only a single text longer than the bound is taken alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,6 +24,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system, as Python workers outlive their tasks and stand beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has nothing to trim
+        pass
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -65,6 +75,8 @@ def appended(df: DataFrame, columns: list[str], fields: list[StructField], work:
                 made = work([part.column(n + i) for i in range(len(columns))])
                 new = [x.cast(arrow.field(n + i).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i).cast(arrow.field(i).type) for i in range(n)], *new], schema=arrow)
+                del part, made, new
+        release()
 
     return inner.mapInArrow(run, schema)
 
