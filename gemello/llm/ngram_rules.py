@@ -5,7 +5,8 @@ a digit, the common marks and white space are symbols of their own, all other co
 alphabet has 64 symbols and an n-gram packs into 6 * ORDER bits. Spark counts every n-gram of every document; lower
 orders are continuation counts of the next higher order. The model is stored in sorted arrays of hashed n-grams with
 their interpolated probabilities, which has at most 64 ** ORDER entries a language whatever the corpus (`MOST_ENTRIES`
-is checked before it is broadcast; beyond it languages are scored one after another, each with its own model).
+is checked before it is broadcast; beyond it groups of languages are scored one after another, and the segments of odd
+documents by each group's models in turn, so that the bound doesn't change any result).
 A document's perplexity is judged by its language's band: the median log-perplexity of all its documents, plus and minus
 WIDE times the spread between the quartiles and the median, times 1 + SHORT / words as a mean over few words varies
 more. Medians and quartiles come from exact counts in bins. A document that looks odd to its own language's model may
@@ -261,8 +262,11 @@ def models(grams_of: DataFrame) -> dict[str | None, Model]:
     return out
 
 
-def scored(documents: DataFrame, model: dict[str | None, Model], keep: list[str], model_fields: bool = True) -> DataFrame:
-    """documents[keep] with the rules' counts, log_perplexity (a mean over the text's symbols; null without a model or text) and best_perplexity."""
+def scored(documents: DataFrame, model: dict[str | None, Model], keep: list[str], model_fields: bool = True, among_all: bool = True) -> DataFrame:
+    """documents[keep] with the rules' counts, log_perplexity (a mean over the text's symbols; null without a model or text) and best_perplexity.
+
+    Where `model` hasn't all languages (not among_all), odd_mean stands in place of best_perplexity: the own model's mean for odd documents, else null.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(cols: list[pa.Array]) -> list:
@@ -284,28 +288,58 @@ def scored(documents: DataFrame, model: dict[str | None, Model], keep: list[str]
         best = mean.copy()
         own_mean = np.array([m.mean if (m := shared.value.get(x)) else np.inf for x in langs])
         odd = np.flatnonzero(known & (n > 0) & (mean > own_mean + ODD))
+        if not among_all:
+            plain = np.ones(len(mean), bool)
+            plain[odd] = False
+            return [*rules(cols[0]), pa.array(mean, mask=~(known & (n > 0))), pa.array(own_mean, mask=plain)]
         if len(odd):
             best[odd] = own_mean[odd] + _best_segments(packed, at[odd], n[odd], list(shared.value.values()))
         none = ~(known & (n > 0))
         return [*rules(cols[0]), pa.array(mean, mask=none), pa.array(np.minimum(best, mean), mask=none)]
 
     d = documents.select(*dict.fromkeys([*keep, "text", "lang"])).withColumn("lang", F.col("lang").cast("string"))
-    fields = [*RULES, T.StructField("log_perplexity", T.DoubleType()), T.StructField("best_perplexity", T.DoubleType())]
+    fields = [*RULES, T.StructField("log_perplexity", T.DoubleType()), T.StructField("best_perplexity" if among_all else "odd_mean", T.DoubleType())]
     return appended(d, ["text", "lang"], fields, work, [*dict.fromkeys([*keep, "lang"])])
 
 
-def _best_segments(packed: np.ndarray, first: np.ndarray, size: np.ndarray, all_models: list[Model]) -> np.ndarray:
-    """Of texts given by their n-grams' ranges, the mean over segments of the least excess over a model's own mean."""
+def _least(packed: np.ndarray, first: np.ndarray, size: np.ndarray, some_models: list[Model]) -> np.ndarray:
+    """Of all segments of texts given by their n-grams' ranges, the least excess over a model's own mean."""
     where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     gram, inverse = np.unique(packed[np.repeat(first, size) + where], return_inverse=True)
     begin = np.flatnonzero(where % SEGMENT == 0)
     length = np.diff(np.append(begin, len(where)))
-    excess = [-np.add.reduceat(m.log_prob(gram)[inverse], begin) - m.mean * length for m in all_models]
-    least = np.append(0, np.cumsum(np.min(excess, axis=0)))
+    excess = [-np.add.reduceat(m.log_prob(gram)[inverse], begin) - m.mean * length for m in some_models]
+    return np.min(excess, axis=0)
+
+
+def _best_segments(packed: np.ndarray, first: np.ndarray, size: np.ndarray, all_models: list[Model]) -> np.ndarray:
+    """Of texts given by their n-grams' ranges, the mean over segments of the least excess over a model's own mean."""
+    least = np.append(0, np.cumsum(_least(packed, first, size, all_models)))
     ends = np.cumsum(-(-size // SEGMENT))
     return (least[ends] - least[ends - -(-size // SEGMENT)]) / size
 
 
+def segments(texts: DataFrame, some_models: list[Model]) -> DataFrame:
+    """key, segment, excess and n_grams of each segment of texts (key, text): its least excess over the mean of one of some_models."""
+    shared = texts.sparkSession.sparkContext.broadcast(some_models)
+
+    def run(batches):
+        for batch in batches:
+            for at, size in slices(batch, 1):
+                part = batch.slice(at, size)
+                packed, ends = grams(part.column(1))
+                n = np.diff(ends)
+                parts = -(-n // SEGMENT)
+                least = _least(packed, ends[:-1], n, shared.value)
+                place = np.arange(len(least)) - np.repeat(np.cumsum(parts) - parts, parts)
+                row = np.repeat(np.arange(len(n)), parts)
+                length = np.minimum(n[row] - place * SEGMENT, SEGMENT)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place), pa.array(least), pa.array(length)], names=["key", "segment", "excess", "n_grams"])
+        release()
+
+    return texts.select("key", "text").mapInArrow(run, "key string, segment long, excess double, n_grams long")
+
+
 def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE) -> list[tuple[str | None, float, float, float]]:
     """(lang, median, how far below, how far above) from exact counts in bins of BIN over all documents of at least 20 words."""
     hist = log_perplexity.where("log_perplexity is not null and n_words >= 20").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).alias("bin")).count().collect()
@@ -334,19 +368,28 @@ def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WI
         if groups[-1] and sum(sizes[x] for x in groups[-1]) + sizes[lang] > most_entries:
             groups.append([])
         groups[-1].append(lang)
-    parts = []
-
     def among(own: list[str | None]):
         names = [x for x in own if x is not None]
         return F.when(F.col("lang").isNull(), F.lit(None in own)).otherwise(F.col("lang").cast("string").isin(names))
 
-    for own in groups:  # the first also takes languages without any n-gram
-        others = [x for g in groups if g is not own for x in g]
-        picked = documents.where(~among(others) if own is groups[0] else among(own)) if others else documents
-        parts.append(scored(picked, models(table.where(among(own))), keep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if len(groups) == 1:
+        out = scored(documents, models(table), keep)
+    else:  # odd documents meet the models of all groups, one group at a time; equal texts of a language share a key
+        text_of = F.md5(F.concat(F.coalesce(F.hex(F.col("lang").cast("string")), F.lit("-")), F.lit(" "), F.col("text")))
+        keyed = documents.withColumn("__key", text_of)
+        own_scores, excess = None, None
+        for i, own in enumerate(groups):  # the first also takes languages without any n-gram
+            picked = keyed.where(~among([x for g in groups[1:] for x in g]) if i == 0 else among(own))
+            part = written(scored(picked, models(table.where(among(own))), [*keep, "__key"], among_all=False), f"{where}/own{i}")
+            own_scores = part if own_scores is None else own_scores.unionByName(part)
+        odd_keys = own_scores.where("odd_mean is not null").select("__key").distinct()
+        odd = written(keyed.join(odd_keys, "__key", "left_semi").select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), f"{where}/odd")
+        for i, own in enumerate(groups):
+            part = written(segments(odd, list(models(table.where(among(own))).values())), f"{where}/segments{i}")
+            excess = part if excess is None else excess.unionByName(part)
+        least = excess.groupBy("key", "segment").agg(F.min("excess").alias("excess"), F.first("n_grams").alias("n_grams"))
+        best = least.groupBy(F.col("key").alias("__key")).agg((F.sum("excess") / F.sum("n_grams")).alias("__best"))
+        out = own_scores.join(best, "__key", "left").withColumn("best_perplexity", F.least("log_perplexity", F.col("odd_mean") + F.col("__best"))).drop("__key", "odd_mean", "__best")
     marked = written(out, f"{where}/scores")
     limits = bands(marked, wide)
     frame = spark.createDataFrame(limits, "band_lang string, middle double, below double, above double")

@@ -179,3 +179,17 @@ def test_empty_mix(spark):
     sized = source_mix.sized(spark.createDataFrame([(1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string"), ["doc_id", "source"])
     assert {r.doc_id: r.size for r in sized.collect()} == {1: 2, 2: 0}
     assert source_mix.mix(sized.where(F.col("size") == 0)).taken().first().taken == 0
+
+
+def test_models_by_groups_give_the_same_rows(spark):
+    rng = random.Random(5)
+    prose = lambda syllables, n: [" ".join("".join(rng.choices(syllables, k=2)) for _ in range(120)) for _ in range(n)]
+    many = lambda letters: ["".join(rng.choices(letters, k=3)) for _ in range(200)]
+    one, two, three = prose(["ta", "ro", "mi", "len", "so", "ka"], 60), prose(many("bcdefgh"), 200), prose(many("pquvwxyz"), 200)
+    mixed = [one[0] + " " + two[0], one[1] + " " + three[0]]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "a") for t in one + mixed + mixed[:1]] + [(t, "b") for t in two] + [(t, None) for t in three] + [("", "d"), (None, "a")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shown = lambda most: {r.doc_id: (r.kept, r.in_band, round(r.best_perplexity or 0, 9), round(r.log_perplexity or 0, 9)) for r in ngram_rules.judged(df, ["doc_id"], most_entries=most).collect()}
+    whole = shown(ngram_rules.MOST_ENTRIES)
+    assert len(whole) == len(rows) and all(whole[i][2] < whole[i][3] - 0.1 for i in range(60, 63)), [whole[i] for i in range(60, 63)]
+    assert shown(1) == whole
