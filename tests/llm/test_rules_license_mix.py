@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -193,3 +194,16 @@ def test_models_by_groups_give_the_same_rows(spark):
     whole = shown(ngram_rules.MOST_ENTRIES)
     assert len(whole) == len(rows) and all(whole[i][2] < whole[i][3] - 0.1 for i in range(60, 63)), [whole[i] for i in range(60, 63)]
     assert shown(1) == whole
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test data here")
+def test_bands_on_labelled_rows_not_used_for_them(spark):
+    documents, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("doc_id % 2 = 1").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
+    rows = ngram_rules.judged(documents, ["doc_id"]).where("not base_failed").join(known, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    junk, good = n[0, False] + n[0, True], n.get((1, False), 0) + n[1, True]
+    assert n[0, False] >= 0.55 * junk and n.get((1, False), 0) <= 0.003 * good
