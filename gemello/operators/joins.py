@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gemello.functions.hashing import hamming
+from gemello.operators import cluster
 
 
 def band_join(features: DataFrame, key: str, bands: str, slot: str | None = None) -> DataFrame:
@@ -52,6 +53,15 @@ def in_order(asked: DataFrame, keys: str, known: DataFrame, key: str) -> DataFra
     return asked.select(F.posexplode(keys).alias("pos", "asked")).join(known, F.col("asked") == F.col(key), "left")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `pos`, their place in the order of key from 0: ranges are sorted apart, and only the ranges' sizes come together."""
+    parts = cluster.written(rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), cluster.shared_dir(rows))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("pos", F.col("before") + F.col("__own")).drop("__part", "__own", "before")
+
+
 def longest_prefix(paths: DataFrame, path: str, roots: DataFrame, root: str, key: str) -> DataFrame:
     """Each path with the deepest root that holds it: paths explode to their ancestors, which meet the roots in an equi-join."""
     parts = F.split(path, "/")

@@ -58,6 +58,10 @@ CATALOG = {
         lambda s, d: changes(s, d).where("seq % 10 = 0").join(files(s, d).select(F.col("file_id").alias("entity"), "path"), "entity", "left").select("seq", "entity", "path"),
         f"WITH {CHANGES}, {FILES} SELECT seq, entity, path FROM changes LEFT JOIN files ON file_id = entity WHERE seq % 10 = 0",
     ),
+    "s27_event_batch_whole": (
+        lambda s, d: changes(s, d).join(files(s, d).select(F.col("file_id").alias("entity"), "path"), "entity", "left").select("seq", "entity", "path"),
+        f"WITH {CHANGES}, {FILES} SELECT seq, entity, path FROM changes LEFT JOIN files ON file_id = entity",
+    ),
     "k02_confirmed_groups": (
         lambda s, d: cluster.connected_components(edges(s, d).where("distance <= 20")).groupBy("component").agg(F.count(F.lit(1)).alias("n")),
         f"""WITH RECURSIVE {EDGES}, links AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM edges WHERE distance <= 20 UNION SELECT "right", "left" FROM edges WHERE distance <= 20),
