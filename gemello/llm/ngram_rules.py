@@ -12,6 +12,10 @@ WIDE times the spread between the quartiles and the median, times 1 + SHORT / wo
 more. Medians and quartiles come from exact counts in bins. A document that looks odd to its own language's model may
 hold passages of other languages: its segments are then also scored by the other models, each against that model's own
 mean, and the upper bound holds for the mean of the best of them (`best_perplexity`).
+That model is bounded, so it can't know words. Beside it all neighbouring pairs of words of the corpus are counted in
+partitioned tables that grow with it (`word_pairs`): `pair_rarity` is minus the mean logarithm of 0.5 + how often a
+text's pairs stand in other texts, and has an upper bound of the same kind (PAIRS_WIDE, PAIRS_SHORT), so that a text whose
+symbols look right but whose words or their order are no other text's is rejected.
 
 Defined results: null and empty texts have no words, counts of 0 and no perplexity (never rejected by the band, but by
 the base rule); a null language is one of its own; repeated rows are documents of their own; an empty table gives an
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gemello.llm import word_pairs
 from gemello.llm.text import SPACE, appended, flat, hashes, mix, release, runs, slices, words
 
 ORDER = 4
@@ -38,6 +43,8 @@ BIN = 0.005
 #: Chosen on half of the labelled rows of sf0.1 (even doc_id): the most junk found with at most one good document in 800 rejected.
 WIDE = (8.0, 5.5)
 SHORT = 50.0
+#: No good document of the same rows is rejected by these alone.
+PAIRS_WIDE, PAIRS_SHORT = 3.0, 100.0
 ODD, SEGMENT = 0.1, 200
 #: Symbols: 0 pads the beginning; letters 1-26, digit 27, space 28, line end 29, then marks, then hashed others.
 MARKS = ".,;:!?'\"()-/#*$%&|<>"
@@ -341,9 +348,9 @@ def segments(texts: DataFrame, some_models: list[Model]) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key string, segment long, excess double, n_grams long")
 
 
-def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE) -> list[tuple[str | None, float, float, float]]:
+def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE, of: str = "log_perplexity") -> list[tuple[str | None, float, float, float]]:
     """(lang, median, how far below, how far above) from exact counts in bins of BIN over all documents of at least 20 words."""
-    hist = log_perplexity.where("log_perplexity is not null and n_words >= 20").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).alias("bin")).count().collect()
+    hist = log_perplexity.where(F.col(of).isNotNull() & (F.col("n_words") >= 20)).groupBy("lang", F.floor(F.col(of) / BIN).alias("bin")).count().collect()
     by: dict[str | None, list[tuple[int, int]]] = {}
     for r in hist:
         by.setdefault(r["lang"], []).append((r["bin"], r["count"]))
@@ -357,11 +364,13 @@ def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE) -> list[t
 
 
 def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WIDE, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """documents[keep] with the rules' counts, log_perplexity, best_perplexity, in_band, base_failed and kept."""
+    """documents[keep] with the rules' counts, log_perplexity, best_perplexity, pair_rarity, in_band, base_failed and kept."""
     from gemello.llm.text import shared_dir, written
 
     spark = documents.sparkSession
     where = shared_dir(spark)
+    pairs = written(word_pairs.known(documents), f"{where}/pairs")
+    documents = documents.withColumn("__text", F.xxhash64("text"))
     table = written(counts(documents), f"{where}/grams")
     sizes = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
     groups: list[list[str | None]] = [[]]
@@ -374,14 +383,14 @@ def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WI
         return F.when(F.col("lang").isNull(), F.lit(None in own)).otherwise(F.col("lang").cast("string").isin(names))
 
     if len(groups) == 1:
-        out = scored(documents, models(table), keep)
+        out = scored(documents, models(table), [*keep, "__text"])
     else:  # odd documents meet the models of all groups, one group at a time; equal texts of a language share a key
         text_of = F.md5(F.concat(F.coalesce(F.hex(F.col("lang").cast("string")), F.lit("-")), F.lit(" "), F.col("text")))
         keyed = documents.withColumn("__key", text_of)
         own_scores, excess = None, None
         for i, own in enumerate(groups):  # the first also takes languages without any n-gram
             picked = keyed.where(~among([x for g in groups[1:] for x in g]) if i == 0 else among(own))
-            part = written(scored(picked, models(table.where(among(own))), [*keep, "__key"], among_all=False), f"{where}/own{i}")
+            part = written(scored(picked, models(table.where(among(own))), [*keep, "__text", "__key"], among_all=False), f"{where}/own{i}")
             own_scores = part if own_scores is None else own_scores.unionByName(part)
         odd_keys = own_scores.where("odd_mean is not null").select("__key").distinct()
         odd = written(keyed.join(odd_keys, "__key", "left_semi").select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), f"{where}/odd")
@@ -391,14 +400,19 @@ def judged(documents: DataFrame, keep: list[str], wide: tuple[float, float] = WI
         least = excess.groupBy("key", "segment").agg(F.min("excess").alias("excess"), F.first("n_grams").alias("n_grams"))
         best = least.groupBy(F.col("key").alias("__key")).agg((F.sum("excess") / F.sum("n_grams")).alias("__best"))
         out = own_scores.join(best, "__key", "left").withColumn("best_perplexity", F.least("log_perplexity", F.col("odd_mean") + F.col("__best"))).drop("__key", "odd_mean", "__best")
+    rare = -F.col("total") * word_pairs.UNIT / (F.col("n_words") - 1)
+    out = out.join(pairs, F.col("__text") == F.col("key"), "left").withColumn("pair_rarity", rare).drop("__text", "key", "total")
     marked = written(out, f"{where}/scores")
-    limits = bands(marked, wide)
-    frame = spark.createDataFrame(limits, "band_lang string, middle double, below double, above double")
+    rarities = {lang: (middle, above) for lang, middle, _, above in bands(marked, (0.0, PAIRS_WIDE), "pair_rarity")}
+    limits = [(*x, *rarities.get(x[0], (None, None))) for x in bands(marked, wide)]
+    frame = spark.createDataFrame(limits, "band_lang string, middle double, below double, above double, rare_middle double, rare_above double")
     known = marked.join(frame, marked["lang"].eqNullSafe(frame["band_lang"]), "left")
     room = 1 + SHORT / F.greatest(F.col("n_words"), F.lit(1))
     off = F.col("log_perplexity") - F.col("middle")
     over = F.col("best_perplexity") - F.col("middle")
     in_band = F.coalesce((off >= -F.col("below") * room) & (over <= F.col("above") * room), F.lit(True))
+    rare_room = 1 + PAIRS_SHORT / F.greatest(F.col("n_words"), F.lit(1))
+    in_band &= F.coalesce(F.col("pair_rarity") - F.col("rare_middle") <= F.col("rare_above") * rare_room, F.lit(True))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    columns = [*keep, *(f.name for f in RULES), "log_perplexity", "best_perplexity"]
+    columns = [*keep, *(f.name for f in RULES), "log_perplexity", "best_perplexity", "pair_rarity"]
     return known.select(*columns, in_band.alias("in_band"), failed.alias("base_failed"), (~failed & in_band).alias("kept"))

@@ -1,3 +1,4 @@
+import collections
 import os
 import random
 import re
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gemello.llm import license_scan, ngram_rules, source_mix
+from gemello.llm import license_scan, ngram_rules, source_mix, word_pairs
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -207,3 +208,39 @@ def test_bands_on_labelled_rows_not_used_for_them(spark):
     n = {(r.quality, r.kept): r["count"] for r in rows}
     junk, good = n[0, False] + n[0, True], n.get((1, False), 0) + n[1, True]
     assert n[0, False] >= 0.55 * junk and n.get((1, False), 0) <= 0.003 * good
+
+
+def test_pair_totals_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "one", "A b", "a b c a b", "a b c a b", *[" ".join(rng.choices("aBcde", k=rng.randrange(1, 60))) for _ in range(50)]]
+    split = [re.findall(r"\S+", (t or "").lower()) for t in texts]
+    every = collections.Counter(p for w in split for p in zip(w, w[1:]))
+    want = {}
+    for t, w in zip(texts, split):
+        own = collections.Counter(zip(w, w[1:]))
+        if own:
+            want[t] = sum(n * round(np.log(every[p] - n + 0.5) / word_pairs.UNIT) for p, n in own.items())
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for bucket in (word_pairs.BUCKET, 100):
+        monkeypatch.setattr(word_pairs, "BUCKET", bucket)
+        got = {r.text: r.total for r in df.distinct().withColumn("key", F.xxhash64("text")).join(word_pairs.known(df), "key").collect()}
+        assert got == want
+
+
+def test_shuffled_words_are_rejected(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices(["ta", "ro", "mi", "len", "so", "ka"], k=3)) for _ in range(200)]
+    follow = {w: rng.choices(vocabulary, k=4) for w in vocabulary}
+
+    def prose(n):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    good = [prose(200) for _ in range(150)]
+    shuffled = [rng.sample(prose(200), 200) for _ in range(4)]
+    df = spark.createDataFrame([(i, " ".join(w), "xx") for i, w in enumerate(good + shuffled)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in ngram_rules.judged(df, ["doc_id"]).collect()}
+    assert sum(by[i].kept for i in range(150)) >= 148
+    assert not any(by[150 + i].kept or by[150 + i].base_failed for i in range(4))
