@@ -61,6 +61,47 @@ def video_verdict(slots: DataFrame, similarity: str = "similarity", valid: str =
     return own.select("left", "right", "n_valid", "n_passed", mean.alias("mean"), F.when(~enough, "inconclusive").when(near, "yes").otherwise("no").alias("verdict"))
 
 
+def video_joint(slots: DataFrame, t: Thresholds = G) -> DataFrame:
+    """Joint verdict of pairs (left, right) from slot rows with l_parts, r_parts, l_hist, r_hist and valid.
+
+    A valid slot's similarity is its histograms' cosine if enough parts are near, else 0; it has passed if that cosine is
+    near enough too. Fewer than video_frames valid slots are inconclusive and publish no mean.
+    """
+    near = F.coalesce(passed_parts(F.col("l_parts"), F.col("r_parts"), t.part_bits) >= t.parts, F.lit(False))
+    sim = F.when(F.col("valid") & near, cosine(F.col("l_hist"), F.col("r_hist"))).otherwise(0.0)
+    own = slots.withColumn("__near", near).withColumn("__sim", sim).groupBy("left", "right").agg(
+        F.sum(F.col("valid").cast("int")).alias("n_valid"),
+        F.sum((F.col("valid") & F.col("__near") & (F.col("__sim") >= t.sobel)).cast("int")).alias("n_passed"),
+        F.sum("__sim").alias("total"),
+    )
+    enough = F.col("n_valid") >= t.video_frames
+    mean = F.when(enough, F.col("total") / F.col("n_valid"))
+    yes = (mean >= t.video_mean) | (F.col("n_passed") >= t.video_frames)
+    return own.select("left", "right", "n_valid", "n_passed", mean.alias("mean"), F.when(~enough, "inconclusive").when(yes, "yes").otherwise("no").alias("verdict"))
+
+
+def video_stage2_r(slots: DataFrame, t: Thresholds = R) -> DataFrame:
+    """Stage 2 of pairs (left, right) from slot rows with slot, l_parts, r_parts, l_hist, r_hist and valid (C08), in single precision.
+
+    The mean over valid slots of the cosine of those with enough near parts, whatever the cosine is. Too few valid slots,
+    or one that lacks parts or a histogram on a side, make the pair incomplete.
+    """
+    lacks = F.col("l_parts").isNull() | F.col("r_parts").isNull() | F.col("l_hist").isNull() | F.col("r_hist").isNull()
+    near = passed_parts(F.col("l_parts"), F.col("r_parts"), t.part_bits) >= t.parts
+    zero = F.lit(0.0).cast("float")
+    score = F.when(F.col("valid") & near, cosine_r(F.col("l_hist"), F.col("r_hist"))).otherwise(zero)
+    own = slots.withColumn("__lacks", F.col("valid") & lacks).withColumn("__score", F.coalesce(score, zero)).groupBy("left", "right").agg(
+        F.sum(F.col("valid").cast("int")).alias("n_valid"),
+        F.bool_or("__lacks").alias("lacks"),
+        F.sort_array(F.collect_list(F.struct("slot", "__score"))).alias("scores"),
+    )
+    total = F.aggregate("scores", zero, lambda s, x: (s + x["__score"]).cast("float"))
+    complete = (F.col("n_valid") >= t.video_frames) & ~F.col("lacks")
+    mean = F.when(complete, (total / F.col("n_valid")).cast("float"))
+    verdict = F.when(~complete, "incomplete").when(mean >= F.lit(t.video_mean).cast("float"), "passed").otherwise("rejected")
+    return own.select("left", "right", "n_valid", mean.alias("mean"), verdict.alias("verdict"))
+
+
 def slot_pairs(pairs: DataFrame, frames: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Pairs with the frames of both sides, slot by slot; a slot that a side lacks isn't valid."""
     a = frames.select(F.col(key).alias("left"), "slot", *[F.col(c).alias(f"l_{c}") for c in columns])

@@ -170,6 +170,26 @@ def test_video_verdicts(spark, similarities, g, r, mean):
         assert row.verdict == want and (row.mean == pytest.approx(mean) if mean is not None else row.mean is None)
 
 
+def test_video_joint_and_stage2(spark):
+    def slots(*given):  # (near parts, cosine or None where the histogram is missing, valid)
+        hist = {1.0: [1.0, 0.0], 0.6: [0.6, 0.8], 0.0: [0.0, 1.0], None: None}
+        return [(1, 2, i, [0] * 9, [0] * n + [-1] * (9 - n), [1.0, 0.0], hist[c], v) for i, (n, c, v) in enumerate(given)]
+
+    schema = "left long, right long, slot int, l_parts array<long>, r_parts array<long>, l_hist array<float>, r_hist array<float>, valid boolean"
+    run = lambda f, *given: f(spark.createDataFrame(slots(*given), schema)).first()
+    good, far, low, lacking = (8, 1.0, True), (7, 1.0, True), (9, 0.6, True), (9, None, True)
+    row = run(scoring.video_joint, *[good] * 3, far, low, (9, 1.0, False))  # far counts 0, low counts 0.6 but hasn't passed
+    assert (row.n_valid, row.n_passed, row.verdict) == (5, 3, "no") and row.mean == pytest.approx(3.6 / 5)
+    assert run(scoring.video_joint, *[good] * 4, far, far).verdict == "yes"  # by count
+    assert run(scoring.video_joint, *[good] * 3, (9, 1.0, False)).verdict == "inconclusive"
+    row = run(scoring.video_stage2_r, *[good] * 3, low)
+    assert row.verdict == "passed" and row.mean == pytest.approx(0.9)
+    assert run(scoring.video_stage2_r, *[good] * 4, far, far).verdict == "rejected"
+    assert run(scoring.video_stage2_r, *[good] * 5, lacking).verdict == "incomplete"
+    assert run(scoring.video_stage2_r, *[good] * 5, (9, None, False)).verdict == "passed"
+    assert run(scoring.video_stage2_r, *[good] * 3).verdict == "incomplete"
+
+
 def test_thresholds_are_checked():
     for bad in ({"hamming": 257}, {"aspect": -0.1}, {"window_ms": -1}, {"parts": 0}, {"video_frames": 7}):
         with pytest.raises(ValueError):
