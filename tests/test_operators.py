@@ -129,6 +129,13 @@ def test_components_and_stars_of_random_graphs(spark):
         assert {r.node: r.representative for r in cluster.star_clusters(edges(spark, pairs)).collect()} == stars(pairs)
 
 
+def test_stars_of_long_chains(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(30)] + [(3, 9), (100, 101)]
+    for few in (cluster.FEW, 12):
+        monkeypatch.setattr(cluster, "FEW", few)
+        assert {r.node: r.representative for r in cluster.star_clusters(edges(spark, pairs), most_rounds=2).collect()} == stars(pairs)
+
+
 def test_stars_are_not_transitive(spark):
     run = lambda p: {r.node: r.representative for r in cluster.star_clusters(edges(spark, p)).collect()}
     assert run([(1, 2), (2, 3)]) == {1: 1, 2: 1}
