@@ -3,8 +3,9 @@
 A piece of a batch is cut into words by the classes of its code points. The words that aren't known yet lie in one flat
 array of symbols. In each round the rank of every pair of neighbours is looked up by binary search over the sorted keys
 of all merges, each word merges its lowest-ranked pair wherever that stands, and the array is packed again, until no
-word has a pair with a rank. The ids of known words come from a cache of bounded size, by the word's 64-bit hash. Ids,
-their decimal text and the decoded bytes are gathered from flat tables.
+word has a pair with a rank. The ids of known words come from a cache of bounded size, by the word's bytes; within a
+piece, equal words are found by hash and compared byte by byte. Ids, their decimal text and the decoded bytes are
+gathered from flat tables.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; texts of any length are encoded whole;
 equal texts have equal tokens; special tokens of the vocabulary file are matched in the text as its library does by
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 
 from gemello.llm.text import appended, flat, hashes
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
+CACHE_IDS = 1 << 19
+CACHE_BYTES = 64  # longer words aren't kept
 NONE = np.iinfo(np.int64).max
 #: Classes of code points.
 WHITE, LETTER, NUMBER, OTHER = range(4)
@@ -125,7 +128,8 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.store = np.zeros(1 << 16, np.int64)
         self.stored = 0
         self.begin = np.zeros(1 << 12, np.int64)
@@ -170,16 +174,18 @@ class Bpe:
         order = np.argsort(own, kind="stable")
         return ids[order], np.bincount(own, minlength=len(lengths))
 
-    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: list[int]) -> np.ndarray:
-        """The places in the store of words with these hashes; new words are merged and stored."""
-        if len(self.known) + len(keys) > CACHE_WORDS:
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places in the store of different words; new words are merged and stored."""
+        if self.held + len(starts) > CACHE_WORDS or self.stored > CACHE_IDS:
             self.forget()
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(place < 0)
         if len(new):
             lengths = ends[new] - starts[new]
             ids, counts = self.merge(data[ranges(starts[new], lengths)], lengths)
-            have = len(self.known)
+            have = self.held
             place[new] = np.arange(have, have + len(new))
             self.store = _room(self.store, self.stored + len(ids))
             self.begin, self.count = _room(self.begin, have + len(new)), _room(self.count, have + len(new))
@@ -187,7 +193,8 @@ class Bpe:
             self.begin[have : have + len(new)] = self.stored + np.cumsum(counts) - counts
             self.count[have : have + len(new)] = counts
             self.stored += len(ids)
-            self.known.update((keys[i], p) for i, p in zip(new.tolist(), place[new].tolist(), strict=True))
+            self.held += len(new)
+            self.known.update((k, p) for i, p in zip(new.tolist(), place[new].tolist(), strict=True) if len(k := keys[i]) <= CACHE_BYTES)
         return place
 
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +203,8 @@ class Bpe:
         if not len(firsts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         ends = np.append(firsts[1:], len(data))
-        keys, first, inverse = np.unique(hashes(data, firsts, ends), return_index=True, return_inverse=True)
-        place = self.learn(data, firsts[first], ends[first], keys.tolist())[inverse]
+        first, inverse = different(data, firsts, ends)
+        place = self.learn(data, firsts[first], ends[first])[inverse]
         counts = self.count[place]
         ids = self.store[ranges(self.begin[place], counts)]
         return ids, np.append(0, np.cumsum(counts))[words]
@@ -237,6 +244,19 @@ class Bpe:
         return [bytes(raw[a:b]).decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def different(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each different word, and for each word the index of its equal among these; words lie one after another."""
+    _, first, inverse = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    same = first[inverse]
+    size = ends - starts
+    if np.array_equal(size, size[same]) and np.array_equal(data[starts[0] : ends[-1]], data[ranges(starts[same], size)]):
+        return first, inverse
+    raw = data.tobytes()  # two words share a hash: tell all apart by their bytes
+    known: dict[bytes, int] = {}
+    inverse = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after another."""
     ends = np.cumsum(sizes)

@@ -7,6 +7,8 @@ batch size; only a single text longer than the bound is taken alone.
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +21,9 @@ from pyspark.sql.types import StructField, StructType
 PIECE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+LONG = 256
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def release() -> None:
@@ -38,10 +40,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; /tmp only where the setting is unset."""
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/gemello-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which driver and executors share; /tmp only where all run on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "/tmp/checkpoints"
+    return f"{where}/gemello-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, where: str) -> DataFrame:
@@ -138,25 +143,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 4096)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 8 * PIECE_BYTES:
-            _powers[base] = have
-    return have[:n]
-
-
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: polynomial prefix sums, then mixed with the length."""
+    """64-bit hashes of byte ranges: blocks of eight bytes pass one after another through `mix`; longer ranges than LONG take BLAKE2b.
+
+    Each step is a bijection of the block, so ranges of up to eight bytes and equal length never collide; others do by
+    chance alone, as mixing isn't linear in the bytes (no pair of texts collides by its structure).
+    """
     n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers_of(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers_of(_INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = ends - starts
+    room = np.zeros(n + 8, np.uint8)
+    room[:n] = data
+    eight = np.ndarray((n + 1,), "<u8", room, strides=(1,))  # the eight bytes that begin at each place
+    h = mix(size.astype(np.uint64) * _FACTOR + (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    open_ = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(open_):
+        block = eight[starts[open_] + done] & _FIRST[np.minimum(size[open_] - done, 8)]
+        h[open_] = mix(h[open_] * _FACTOR + block)
+        done += 8
+        open_ = open_[size[open_] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(room[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return h
 
 
 def lower(data: np.ndarray) -> np.ndarray:

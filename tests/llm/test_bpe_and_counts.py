@@ -15,6 +15,13 @@ LIBRARY = Tokenizer.from_file(PATH)
 ODD = ["", "a", "aaaaaaaa", " a  b\n\n c\r\n", "it's we'll 'S 's's d'don", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "été 日本語 😀 ²Ⅷ12", "\x00\x1c\x85", "   ", "#" * 500, "ab" * 3000]
 
 
+ALIKE = [ODD[1]]
+for _ in range(10):
+    ALIKE[0] += ALIKE[0].translate(str.maketrans("ab", "ba"))
+ALIKE.append(ALIKE[0].translate(str.maketrans("ab", "ba")))  # polynomial hashes modulo 2**64 can't tell these apart
+ODD += [" " + " ".join(ALIKE), " ".join(ALIKE[::-1]), "word " * 40000, "lorem" * 6000]
+
+
 def same(texts):
     b = bpe.loaded(PATH)
     ids, at = b.encode(pa.array(texts, pa.string()))
@@ -33,6 +40,11 @@ def test_any_text(texts):
     same(texts)
 
 
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    same(ODD)
+
+
 def test_forgets_words_but_not_results(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
     b = bpe.Bpe(PATH)

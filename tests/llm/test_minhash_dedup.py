@@ -103,3 +103,15 @@ def test_long_texts_and_shingles():
     assert len(got) == len(brute_set(text, 2))
     a, b = m.shingles(pa.array(["p q r", "q r"]), 5)
     assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+def test_words_that_polynomial_hashes_confuse():
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    texts = [f"p {x} q {y} r {x} {y}", f"p {y} q {x} r {y} {x}", x, y, "z" * 70000]
+    for size in (2, 5):
+        assert [len(s) for s in m.shingles(pa.array(texts), size)] == [len(brute_set(t, size)) for t in texts]
+    a, b, c, d, _ = m.shingles(pa.array(texts), 2)
+    assert len(np.intersect1d(a, b)) == len(brute_set(texts[0], 2) & brute_set(texts[1], 2)) and c[0] != d[0]
