@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field that tags toxic spans.
 
-Tokens are runs of letters and digits, lower-cased; a sentence (up to a full stop, mark or line end, at most SENTENCE
-tokens) is a chain of two states. Each state's emission sums the weights of the token's features, the whole word and
+Tokens are runs of letters and digits, lower-cased; a sentence (up to a full stop, mark or line end, of any length) is a
+chain of two states; long chains go block by block, from exact messages between their blocks. Each state's emission sums the weights of the token's features, the whole word and
 its beginnings of some lengths in bytes, where it goes on beyond them; transitions join neighbours. Forward-backward
 marginals of every token of the whole text give the offending offsets; the document's score is a logistic function of
 their largest, their sum, their evidence (log-odds above a floor) and its density, fitted on a part of the sample that
@@ -32,7 +32,7 @@ from gemello.llm.labelled import held_out, sample
 from gemello.llm.text import appended, flat, hashes, mix, runs
 
 SAMPLE = {1: 1200, 0: 2400}
-SENTENCE = 64
+BLOCK = 64
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 CHANCE = 0.05
 STEPS, RATE, DECAY = 30, 0.5, 2e-4
@@ -76,10 +76,7 @@ def tokens(col: pa.Array) -> Tokens:
     new[1:] = stops[starts[1:]] > stops[ends[:-1]]
     new[at[:-1][at[:-1] < len(starts)]] = True
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(starts)))
-    where = np.arange(len(starts)) - np.repeat(begin, length)
-    first = np.flatnonzero(where % SENTENCE == 0)
-    return Tokens(data, offsets, starts, ends, at, kind, features, first, np.diff(np.append(first, len(starts))))
+    return Tokens(data, offsets, starts, ends, at, kind, features, begin, np.diff(np.append(begin, len(starts))))
 
 
 def many_tokens(texts: list[str], piece: int = 128) -> Tokens:
@@ -96,24 +93,68 @@ def many_tokens(texts: list[str], piece: int = 128) -> Tokens:
     return Tokens(np.zeros(0, np.uint8), empty, empty, empty, at, own, features, first, np.concatenate([t.size for t in parts]))
 
 
+def _messages(e: np.ndarray, first: np.ndarray, size: np.ndarray, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For consecutive blocks of chains: the state probabilities before each block, and the backward weights after it.
+
+    of: the chain of each block. A block's transfer matrix comes from running forward from either state; matrices of a
+    chain's blocks are then applied one after another, those of all chains at once.
+    """
+    before, after = np.zeros((len(first), 2)), np.ones((len(first), 2))
+    before[:, 0] = 1
+    many = np.flatnonzero(np.bincount(of)[of] > 1)
+    if not len(many):
+        return before, after
+    begin, length = first[many], size[many]
+    f = np.zeros((2, 2, len(many)))  # from state, to state, block
+    f[0, 0] = f[1, 1] = 1
+    for t in range(int(length.max())):
+        on = np.flatnonzero(length > t)
+        own = e[begin[on] + t]
+        g = f[:, :, on]
+        a0 = g[:, 0] * m[0, 0] + g[:, 1] * m[1, 0]
+        a1 = (g[:, 0] * m[0, 1] + g[:, 1] * m[1, 1]) * own
+        total = (a0 + a1).sum(0)
+        f[:, 0, on], f[:, 1, on] = a0 / total, a1 / total
+    chain = of[many]
+    start = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+    blocks = np.diff(np.append(start, len(chain)))
+    for k in range(1, int(blocks.max())):
+        at = start[blocks > k] + k
+        v = before[many[at - 1]]
+        v = np.stack([v[:, 0] * f[0, s, at - 1] + v[:, 1] * f[1, s, at - 1] for s in (0, 1)], axis=1)
+        before[many[at]] = v / v.sum(1, keepdims=True)
+    for k in range(int(blocks.max()) - 1, 0, -1):
+        at = start[blocks > k] + k
+        v = after[many[at]]
+        v = np.stack([f[s, 0, at] * v[:, 0] + f[s, 1, at] * v[:, 1] for s in (0, 1)], axis=1)
+        after[many[at - 1]] = v / v.sum(1, keepdims=True)
+    return before, after
+
+
 def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token, the probability of the toxic state; of each state pair, the expected number of moves.
 
     emission: log-odds of the toxic state of each token; move: log-weights of moves between states (2, 2), and before
-    the first token state 0 is assumed. All sentences go forward and back together, the longest first.
+    the first token state 0 is assumed. Chains are cut into blocks of BLOCK tokens, which all go forward and back
+    together, the longest first, from the exact messages at their ends.
     """
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
     out = np.zeros(len(emission))
     pairs = np.zeros((2, 2))
     if not len(first):
         return out, pairs
     e = np.exp(np.clip(emission, -30, 30))
     m = np.exp(np.clip(move, -30, 30))
+    blocks = -(-size // BLOCK)
+    of = np.repeat(np.arange(len(first)), blocks)
+    place = (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    first, size = first[of] + place, np.minimum(size[of] - place, BLOCK)
+    before, after = _messages(e, first, size, of, m)
+    order = np.argsort(-size, kind="stable")
+    first, size, before, after = first[order], size[order], before[order], after[order]
     most = int(size[0])
-    active = np.searchsorted(-size, -np.arange(most), "left")  # how many sentences have a token at each step
+    active = np.searchsorted(-size, -np.arange(most), "left")  # how many blocks have a token at each step
     ahead = []
-    f0, f1 = np.ones(len(first)), np.zeros(len(first))
+    f0, f1 = before[:, 0], before[:, 1]
     for t in range(most):
         n = active[t]
         f0, f1 = f0[:n], f1[:n]
@@ -125,14 +166,14 @@ def marginals(emission: np.ndarray, first: np.ndarray, size: np.ndarray, move: n
     b0 = b1 = np.zeros(0)
     for t in range(most - 1, -1, -1):
         n = active[t]
-        b0 = np.concatenate([b0, np.ones(n - len(b0))])
-        b1 = np.concatenate([b1, np.ones(n - len(b1))])
+        b0 = np.concatenate([b0, after[len(b0) : n, 0]])
+        b1 = np.concatenate([b1, after[len(b1) : n, 1]])
         f0, f1 = ahead[t]
         p0, p1 = f0 * b0, f1 * b1
         p1 = p1 / (p0 + p1)
         out[first[:n] + t] = p1
         own = e[first[:n] + t]
-        g0, g1 = ahead[t - 1] if t else (np.ones(n), np.zeros(n))
+        g0, g1 = ahead[t - 1] if t else (before[:, 0], before[:, 1])
         g0, g1 = g0[:n], g1[:n]
         x = [[g0 * m[0, 0] * b0, g0 * m[0, 1] * own * b1], [g1 * m[1, 0] * b0, g1 * m[1, 1] * own * b1]]
         total = x[0][0] + x[0][1] + x[1][0] + x[1][1]
@@ -342,6 +383,7 @@ def scored(documents: DataFrame, model: Model | None, keep: list[str] | None = N
 
 
 def classified(documents: DataFrame, labels: DataFrame, least: float = 0.7, modulus: int = 3, remainder: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= least) and n_spans."""
+    """doc_id, held_out, score, predicted (score >= least), n_spans and spans (start:end of each, comma-joined)."""
     out = scored(documents, learned(documents, labels, modulus, remainder), ["doc_id"])
-    return out.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "n_spans")
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "n_spans", shown.alias("spans"))

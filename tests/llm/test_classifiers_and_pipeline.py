@@ -65,6 +65,34 @@ def test_toxic_spans(tables):
     assert len(found) > 100 and np.mean([w.startswith(("grob", "zwist")) for w in found]) > 0.97
 
 
+def test_long_chains_against_a_plain_recursion():
+    rng = np.random.default_rng(2)
+    size = np.array([500, 3, 64, 65, 129, 1, 300])
+    emission, move = rng.normal(-1, 2, size.sum()), rng.normal(0, 1.5, (2, 2))
+    first = np.cumsum(size) - size
+    got, pairs = toxicity_crf.marginals(emission, first, size, move)
+    want, moves = [], np.zeros((2, 2))
+    for f, n in zip(first, size):
+        step = [np.exp(move) * np.array([1, np.exp(e)]) for e in emission[f : f + n]]
+        ahead, back = [np.array([1.0, 0.0])], [np.ones(2)]
+        for m in step:
+            ahead.append(ahead[-1] @ m / (ahead[-1] @ m).sum())
+        for m in reversed(step):
+            back.append(m @ back[-1] / (m @ back[-1]).sum())
+        back.reverse()
+        for k in range(n):
+            both = ahead[k + 1] * back[k + 1]
+            want.append(both[1] / both.sum())
+            joint = ahead[k][:, None] * step[k] * back[k + 1]
+            moves += joint / joint.sum()
+    assert np.allclose(got, want) and np.allclose(pairs, moves)
+
+
+def test_a_sentence_is_one_chain_whatever_its_length():
+    t = toxicity_crf.tokens(pa.array(["word " * 500 + ". end", "x"]))
+    assert t.size.tolist() == [500, 1, 1]
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     emission, move = rng.normal(0, 2, 9), rng.normal(0, 1, (2, 2))
@@ -117,6 +145,15 @@ def test_sample_holds_nothing_out(spark, tables):
     assert labelled.sample(docs, labels, "toxic", 3, 1, {1: 20, 0: 30}) == (texts, values)
 
 
+def test_long_texts_are_sampled_and_the_bound_is_on_all_characters(spark):
+    docs = spark.createDataFrame([(i, "long word " * (8000 if i % 2 else 3)) for i in range(40)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, values = labelled.sample(docs, labels, "toxic", 3, 1, {1: 50, 0: 50})
+    assert any(len(t) > 70_000 for t in texts) and set(values) == {0, 1}
+    few, _ = labelled.sample(docs, labels, "toxic", 3, 1, {1: 50, 0: 50}, 250_000)
+    assert 0 < sum(map(len, few)) <= 250_000 < sum(map(len, texts)) and set(few) <= set(texts)
+
+
 def test_pipeline_stages(spark, tables, tmp_path):
     rows, docs, labels = tables
     copies = docs.where("doc_id < 30").selectExpr("doc_id + 1000 as doc_id", "concat(text, ' end') as text", "lang", "source", "n_chars")
