@@ -2,15 +2,17 @@
 
 All rolling k-grams of a text's words are joined, as hashes, to the places where the license templates hold them. A
 match of text place p and template place t votes for the diagonal p - t; votes are counted by document, template and
-diagonal, neighbouring diagonals (words left out or put in) are merged, and each merged span is verified: enough of a
-short notice, or a long enough and dense enough passage of a long text, must be covered by matching k-grams. The
-templates are a fixed list, so their side of the join is broadcast whatever the corpus.
+diagonal, neighbouring diagonals (words left out or put in) are merged, merged spans are cut where CUT words in a row
+match nothing, and each piece is verified: enough of a short notice, or a long enough and dense enough passage of a long
+text, must be covered by matching k-grams. The templates are a fixed list, so their side of the join is broadcast
+whatever the corpus. Votes are counted by text (its digest) instead of by doc_id: copies fold into one before any
+shuffle, and no row can get what another one's text holds.
 
 Base places, where the words of a known phrase stand one after another, are counted beside the method and keep their
 labels.
 
 Defined results: null and empty texts have no words and no labels; rows that share a doc_id (or lack one) are scanned
-each, but share the method's labels and score; an empty table gives an empty result; other columns don't matter.
+each for itself, rows with equal texts get equal labels; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import appended, flat, hashes, lower, mix, runs, slices
+from gemello.llm.text import appended, flat, hashes, lower, mix, release, runs, slices
 
 K = 3
-GAP = 3
+GAP, CUT = 3, 10
 SHORT_COVER, LONG_WORDS, DENSE = 0.8, 12, 0.8
 SHORT_TEMPLATE = 16
 
 #: Phrases of base places and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices and license texts by label, as published.
+#: Notices and license texts by label, as published; paragraphs that licenses share aren't among them.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
@@ -43,6 +45,14 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("boost", "any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 )
@@ -110,9 +120,14 @@ def base(documents: DataFrame, keep: list[str]) -> DataFrame:
     return appended(documents, ["text"], BASE, work, keep)
 
 
-def places(documents: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, place and gram: every rolling k-gram of every text."""
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("place", T.IntegerType()), T.StructField("gram", T.LongType())])
+def keyed(documents: DataFrame) -> DataFrame:
+    """documents with `key`, the digest of the text (null without one)."""
+    return documents.withColumn("key", F.unhex(F.md5("text")))
+
+
+def places(texts: DataFrame, k: int = K) -> DataFrame:
+    """key, place and gram: every rolling k-gram of every text of texts (key, text)."""
+    schema = T.StructType([texts.schema["key"], T.StructField("place", T.IntegerType()), T.StructField("gram", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -121,9 +136,10 @@ def places(documents: DataFrame, k: int = K) -> DataFrame:
                 h, at = word_hashes(part.column(1))
                 g, place = rolled(h, at, k)
                 doc = np.searchsorted(at, place, "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array((place - at[doc]).astype(np.int32)), pa.array(g.view(np.int64))], names=["doc_id", "place", "gram"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array((place - at[doc]).astype(np.int32)), pa.array(g.view(np.int64))], names=["key", "place", "gram"])
+        release()
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return texts.select("key", "text").mapInArrow(run, schema)
 
 
 def template_places(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
@@ -136,19 +152,21 @@ def template_places(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, template int, t_place int")
 
 
-def spans(documents: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: doc_id, template, label, start and end (words, end exclusive), covered (template words), cover, votes."""
-    spark = documents.sparkSession
-    hits = places(documents, k).join(F.broadcast(template_places(spark, templates, k)), "gram")
-    own = ["doc_id", "template"]
-    diagonals = hits.groupBy(*own, (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.collect_set("t_place").alias("t_places"), F.count(F.lit(1)).alias("votes"))
+def spans(texts: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
+    """Verified spans of texts (key, text): key, template, label, start and end (words, end exclusive), covered (template words), cover, votes."""
+    spark = texts.sparkSession
+    hits = places(texts.where("text is not null"), k).join(F.broadcast(template_places(spark, templates, k)), "gram")
+    own = ["key", "template"]
+    diagonals = hits.groupBy(*own, (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.collect_set("t_place").alias("t_places"))
     by = Window.partitionBy(*own).orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > GAP, F.lit(True)).cast("int")
     merged = diagonals.withColumn("new", new).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    low = F.col("diagonal") + F.array_min("t_places")
-    high = F.col("diagonal") + F.array_max("t_places") + k
+    votes = merged.select(*own, "span", "diagonal", F.explode("t_places").alias("t_place")).withColumn("place", F.col("diagonal") + F.col("t_place"))
+    along = Window.partitionBy(*own, "span").orderBy("place", "t_place")
+    cut = F.coalesce(F.col("place") - F.lag("place").over(along) >= k + CUT, F.lit(True)).cast("int")
+    pieces = votes.withColumn("cut", cut).withColumn("piece", F.sum("cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     # a template's words that any k-gram covers; at most as many as the template has
-    found = merged.groupBy(*own, "span").agg(F.min(low).alias("start"), F.max(high).alias("end"), F.sum("votes").alias("votes"), F.array_distinct(F.flatten(F.collect_set("t_places"))).alias("t_places"))
+    found = pieces.groupBy(*own, "span", "piece").agg(F.min("place").alias("start"), (F.max("place") + k).alias("end"), F.count(F.lit(1)).alias("votes"), F.collect_set("t_place").alias("t_places"))
     words = F.array_distinct(F.flatten(F.transform("t_places", lambda t: F.sequence(t, t + (k - 1)))))
     found = found.withColumn("covered", F.size(words)).withColumn("reach", F.array_max("t_places") - F.array_min("t_places") + k)
     about = spark.createDataFrame([(i, label, len(_hashes_of(text))) for i, (label, text) in enumerate(templates)], "template int, label string, length int")
@@ -156,15 +174,15 @@ def spans(documents: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     dense = F.col("covered") >= DENSE * F.greatest("reach", F.col("end") - F.col("start"))
     short = (F.col("length") <= SHORT_TEMPLATE) & (F.col("cover") >= SHORT_COVER)
     long = (F.col("length") > SHORT_TEMPLATE) & (F.col("covered") >= LONG_WORDS)
-    return found.where(dense & (short | long)).select("doc_id", "template", "label", "start", "end", "covered", "cover", "votes")
+    return found.where(dense & (short | long)).select("key", "template", "label", "start", "end", "covered", "cover", "votes")
 
 
 def scanned(documents: DataFrame) -> DataFrame:
     """doc_id with the base counts, labels (base and verified ones, sorted) and score (the best cover; 0.5 at least with a base place)."""
-    documents = documents.select("doc_id", "text")
-    own = spans(documents).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("label").alias("found"), F.max("cover").alias("best"))
-    b = base(documents, ["doc_id"])
-    out = b.join(own, b["doc_id"].eqNullSafe(own["id"]), "left")
+    documents = keyed(documents.select("doc_id", "text"))
+    own = spans(documents).groupBy(F.col("key").alias("of")).agg(F.collect_set("label").alias("found"), F.max("cover").alias("best"))
+    b = base(documents, ["doc_id", "key"])
+    out = b.join(own, b["key"] == own["of"], "left")
     nothing = F.array().cast("array<string>")
     known = F.when(F.col("base_labels") == "", nothing).otherwise(F.split("base_labels", ","))
     labels = F.array_join(F.array_sort(F.array_union(known, F.coalesce("found", nothing))), ",")

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 
 from gemello.llm import license_scan, ngram_rules, source_mix, word_pairs
 
+
+
+def thue_morse(n):
+    """A word of 2**n letters that polynomial hashes modulo 2**64 can't tell from its complement."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+ALIKE = [thue_morse(10), thue_morse(10).translate(str.maketrans("ab", "ba"))]
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
     None,
@@ -106,21 +117,39 @@ def test_license_scan(spark):
         9: "mit license",
         10: "filler " * 30000 + "apache license",
         11: "permission of any person to the software in conditions",
+        12: "intro " + " ".join(words[:25] + ["other"] * 20 + words[45:70]) + " tail",
+        13: " ".join(words[:16] + ["other"] * 40 + words[56:59]),
     }
-    rows = [(*r, "x") for r in texts.items()] + [(4, texts[4], "x"), (None, texts[1], "x")]
+    rows = [(*r, "x") for r in texts.items()] + [(4, texts[4], "x"), (None, texts[1], "x"), (4, "nothing to see", "x"), (None, "plain words", "x")]
     out = license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
     assert len(out) == len(rows)
-    by = {r.doc_id: r for r in out}
+    by = {r.doc_id: r for r in out if r.n_words not in (2, 3) or r.doc_id not in (4, None)}
+    plain = [r for r in out if r.doc_id in (4, None) and r.n_words in (2, 3)]  # rows that share an id with another row, or lack one
+    assert len(plain) == 2 and all((r.labels, r.score, r.n_base) == ("", 0.0, 0) for r in plain)
     assert (by[1].n_base, by[1].first_word, by[1].last_word, by[1].base_labels) == (2, 0, 4, "mit")
     assert by[2].labels == by[3].labels == "mit" and by[2].base_labels == "" and by[2].score == 1.0 and 0.8 < by[3].score < 1
     assert (by[4].labels, by[4].score, by[5].labels, by[6].labels) == ("cc-by-nc", 1.0, "", "apache,gpl")
     assert by[7].n_words == by[8].n_words == 0 and by[7].first_word is None and by[9].labels == "" and (by[10].first_word, by[10].n_words) == (30000, 30002)
     assert by[11].labels == "" and by[None].base_labels == "mit"
-    span = [s for s in license_scan.spans(spark.createDataFrame([(2, texts[2])], "doc_id long, text string")).collect() if s.template == 2]
+    assert by[12].labels == by[13].labels == "mit" and by[12].score < 0.5
+    span = [s for s in license_scan.spans(license_scan.keyed(spark.createDataFrame([(2, texts[2])], "doc_id long, text string"))).collect() if s.template == 2]
     assert len(span) == 1 and (span[0].start, span[0].end) == (2, 2 + len(license_scan._hashes_of(mit)))
     assert license_scan.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_base_places_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["mit", "MIT", "license", "License", "apache", "general", "public", "lic\u00e9nse", "x", thue_morse(10), thue_morse(10).translate(str.maketrans("ab", "ba"))]
+    texts = [None, "", *["".join(rng.choice(pool) + rng.choice([" ", "-", "\n", ", "]) for _ in range(rng.randrange(1, 60))) for _ in range(60)], "mit " * 30000 + "license", "m" * 40000 + " apache license"]
+    out = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        hits = [(p, label) for phrase, label in license_scan.PHRASES for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
+        got = out[i]
+        assert (got.n_words, got.n_base, got.first_word, got.last_word) == (len(words), len(hits), min(hits)[0] if hits else None, max(hits)[0] if hits else None)
+        assert got.base_labels == ",".join(sorted({label for _, label in hits})) and set(filter(None, got.base_labels.split(","))) <= set(got.labels.split(","))
+
+
 def test_targets():
     sources = source_mix.targets([("b", 100), (None, 50), ("a", 10), ("c", 0)])
     assert [s.name for s in sources] == ["a", "b", "c", None]
