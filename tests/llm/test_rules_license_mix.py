@@ -166,7 +166,7 @@ def brute_taken(sources, docs):
         rounds, rest = divmod(goal, s.size) if s.size else (0, 0)
         for d in docs:
             if d.sid == i:
-                out[d.doc_id, d.copy] = rounds * d.size + min(max(rest - d.start, 0), d.size)
+                out[d.doc_id, d.row] = rounds * d.size + min(max(rest - d.start, 0), d.size)
     return out
 
 
@@ -174,17 +174,17 @@ def brute_taken(sources, docs):
 def test_mix_against_brute_force(spark, block):
     rng = random.Random(block)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0, 1, 5, 40, 300])) for i in range(300)] + [(7, "b", 40)] * 3 + [(None, None, 9)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, size long, taken string")
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, source string, size long, mark long")
     mix = source_mix.mix(df, block)
     taken = mix.taken().collect()
     placed = mix.documents.collect()
-    assert {(r.doc_id, r.copy): r.taken for r in taken if r.doc_id != 7 and r.doc_id is not None} == {k: v for k, v in brute_taken(mix.sources, placed).items() if k[0] not in (7, None)}
+    assert {(r.doc_id, r.row): r.taken for r in taken} == brute_taken(mix.sources, placed)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.source or "", r.size) for r in taken) == sorted((d is None, d or 0, s or "", n) for d, s, n in rows)
     for s in mix.sources:
         own = [r for r in taken if r.source == s.name]
         assert abs(sum(r.taken for r in own) - s.target) <= 1 and all(r.taken <= 2 * r.size and r.source_size == s.size for r in own)
-    again = sorted((r.doc_id or 0, r.copy, r.taken) for r in source_mix.mix(df.repartition(3), block).taken().collect())
-    assert again == sorted((r.doc_id or 0, r.copy, r.taken) for r in taken)
+    again = sorted((r.doc_id or 0, r.size, r.taken) for r in source_mix.mix(df.repartition(3), block).taken().collect())
+    assert again == sorted((r.doc_id or 0, r.size, r.taken) for r in taken)
     slots = mix.slots.collect()
     assert len({r.slot for r in slots}) == len(slots) and len({(r.sid, r.epoch, r.block) for r in slots}) == len(slots)
 
@@ -198,14 +198,33 @@ def test_schedule_is_spread_evenly(spark):
 
 
 def test_mixed_rows(spark):
-    docs = spark.createDataFrame([(1, "a  b\nc d", "s", 8, 4), (2, None, "s", 0, 0), (3, "e f", None, 3, 2)], "doc_id long, text string, source string, n_chars long, size long")
-    taken = spark.createDataFrame([(1, "s", 1, 4, 6), (2, "s", 1, 0, 0), (3, None, 1, 2, 2)], "doc_id long, source string, copy int, size long, taken long")
-    out = sorted((r.doc_id, r.text, r.n_chars) for r in source_mix.mixed_rows(docs, taken).collect())
-    assert out == [(1, "a  b", 4), (1, "a  b\nc d", 8), (3, "e f", 3)]
+    docs = spark.createDataFrame([(1, "a  b\nc d", "s", 8), (2, None, "s", 0), (3, "e f", None, 3)], "doc_id long, text string, source string, n_chars long")
+    taken = spark.createDataFrame([(1, 4, 6), (2, 0, 0), (3, 2, 2)], "doc_id long, size long, taken long")
+    named = docs.withColumn("name", F.col("doc_id"))
+    out = sorted((r.text, r.n_chars) for r in source_mix.mixed_rows(named, taken.withColumnRenamed("doc_id", "name"), ["name"]).collect())
+    assert out == [("a  b", 4), ("a  b\nc d", 8), ("e f", 3)]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_rows_of_equal_ids_and_texts_are_mixed_each(spark, tmp_path, stored):
+    rows = [(1, "a b c", "s", "x")] * 3 + [(None, "a b c", "s", "y")] * 3 + [(None, None, None, "z"), (4, "d e", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _metadata string").repartition(2)
+    if stored:
+        docs.drop("_metadata").write.parquet(f"{tmp_path}/d")
+        docs = spark.read.parquet(f"{tmp_path}/d")
+    named, by = source_mix.named_rows(docs)
+    assert named.select(*by).distinct().count() == len(rows)
+    mix = source_mix.mix(source_mix.sized(named, ["doc_id", "source", *by]), block=2)
+    out = source_mix.mixed_rows(named, mix.taken(), by)
+    assert out.columns == docs.columns
+    got = collections.Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[x.name] - x.target) <= 1 for x in mix.sources) and sum(x.size for x in mix.sources) == 20
 
 
 def test_empty_mix(spark):
-    df = spark.createDataFrame([], "doc_id long, source string, size long")
+    df = spark.createDataFrame([], "doc_id long, source string, size long, mark long")
     assert source_mix.mix(df).taken().count() == 0
     sized = source_mix.sized(spark.createDataFrame([(1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string"), ["doc_id", "source"])
     assert {r.doc_id: r.size for r in sized.collect()} == {1: 2, 2: 0}
