@@ -56,8 +56,9 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows as often as the mix takes the document, the last with only the words that it takes; documents of which it takes none go."""
 
     def work(d: DataFrame) -> DataFrame:
-        taken = source_mix.mix(source_mix.sized(d, ["doc_id", "source"])).taken()
-        return source_mix.mixed_rows(source_mix.sized(d, d.columns), taken)
+        named, by = source_mix.named_rows(d)
+        taken = source_mix.mix(source_mix.sized(named, ["doc_id", "source", *by])).taken()
+        return source_mix.mixed_rows(named, taken, by)
 
     return _beside(docs, ("doc_id", "text", "source", "n_chars"), work)
 
