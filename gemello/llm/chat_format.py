@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gemello.llm.text import through
+
 START, END = "<|im_start|>", "<|im_end|>"
 _CONFLICT = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -131,7 +133,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
             spans = [{"start": a, "end": b} for a, b in loss_spans(text)]
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": text, "loss_spans": spans}], schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
-    return _sorted_turns(conversations).mapInArrow(run, FORMATTED)
+    return through(_sorted_turns(conversations), run, FORMATTED)
 
 
 def digests(conversations: DataFrame) -> DataFrame:
@@ -159,4 +161,4 @@ def digests(conversations: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), names, strict=True)], schema=pa.schema(names))
 
-    return _sorted_turns(conversations).mapInArrow(run, DIGEST)
+    return through(_sorted_turns(conversations), run, DIGEST)

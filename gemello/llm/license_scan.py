@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import appended, flat, hashes, lower, mix, release, runs, slices
+from gemello.llm.text import appended, flat, hashes, lower, mix, release, runs, slices, through
 
 K = 3
 GAP, CUT = 3, 10
@@ -139,7 +139,7 @@ def places(texts: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array((place - at[doc]).astype(np.int32)), pa.array(g.view(np.int64))], names=["key", "place", "gram"])
         release()
 
-    return texts.select("key", "text").mapInArrow(run, schema)
+    return through(texts.select("key", "text"), run, schema)
 
 
 def template_places(spark, templates=TEMPLATES, k: int = K) -> DataFrame:

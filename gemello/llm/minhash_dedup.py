@@ -9,8 +9,11 @@ minimum the low BITS bits are kept in a packed signature. Classes that share a b
    confirmed on the full sets. Confirmed links give components.
 2. What is left of a bucket, without its hub, still matters only where members lie in different components. Those
    outside the bucket's largest component are compared with that component's members, once however many buckets they
-   share, and with each other. Both go tile by tile: blocks of bounded size on either side carry their full sets, and
-   only links leave a tile. The links of both steps give the final components.
+   share, and with each other. Both go tile by tile, with blocks of bounded size on either side: first on signatures,
+   which leave the classes that have another one within reach in the tile, then those on their full sets; only links
+   leave a tile. The links of both steps give the final components.
+
+A fingerprint, bucket, hub or root may hold a large share of all rows: joins on them are salted (`spread`).
 
 So every candidate pair is either confirmed, out of reach, or within one component already; no bucket is capped and no
 group is collected. A pair of similarity 0.8 shares no bucket with a probability below 5e-6, and is estimated below
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import appended, delete, flat, hashes, lower, mix, release, shared_dir, words, written
+from gemello.llm.text import appended, delete, flat, hashes, lower, mix, release, shared_dir, through, words, written
 
 BANDS, ROWS, BITS = 40, 6, 4
 #: Estimates this far below the threshold, in standard deviations of the estimator, are out of reach.
 SIGMAS = 5.5
 #: A side of a tile holds about so many sets at most, and so many shingles.
 TILE, TILE_SHINGLES = 256, 1 << 16
+#: A key with more than this part of a join's rows is dealt to several tasks.
+MANY = 1000
 SEED = 20240229
 
 
@@ -151,19 +156,33 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
     return appended(documents, ["text"], FIELDS, work, ["doc_id"])
 
 
+def spread(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with right's one row for each key `on`; right's column n says how many rows of left have that key.
+
+    Keys with more than a MANYth part of all rows (so MANY at most, whose list is broadcast) are dealt to several tasks.
+    """
+    total = right.agg(F.sum("n").alias("t"))
+    heavy = right.crossJoin(F.broadcast(total)).where(f"n * {MANY} > t and n > 1").select(F.col(on).alias("__k"), F.ceil(F.col("n") * MANY / F.col("t")).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(heavy), F.col(on) == F.col("__k"), "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__k", "__parts")
+    copies = right.join(F.broadcast(heavy), F.col(on) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__parts", "n")
+    return dealt.join(copies, [on, "__salt"], how).drop("__salt")
+
+
 def _in_reach(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures don't rule the link out."""
     least = reach(percent)
-    sa = signatures.select(F.col("doc_id").alias("ida"), F.col("signature").alias("sa"))
-    sb = signatures.select(F.col("doc_id").alias("idb"), F.col("signature").alias("sb"))
-    both = pairs.join(sb, pairs["b"] == sb["idb"]).join(sa, F.col("a") == F.col("ida")).select("a", "b", "sa", "sb")
+    sa = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
+    sb = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    both = spread(pairs.join(sb, "b"), sa.join(n, "a"), "a").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
             a, b = (flat(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (2, 3))
             yield batch.filter(pa.array(estimated(a, b) >= least)).select([0, 1]) if batch.num_rows else batch.select([0, 1])
 
-    return both.mapInArrow(run, "a long, b long")
+    return through(both, run, "a long, b long")
 
 
 def _bitset(ids: DataFrame, n: int) -> np.ndarray:
@@ -178,7 +197,7 @@ def _bitset(ids: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
 
     out = np.zeros(size // 8, np.uint8)
-    for row in ids.coalesce(12).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in through(ids.coalesce(12), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
@@ -193,7 +212,7 @@ def _wanted(documents: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             h = mix(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(8 * len(have) - 1)
             yield batch.filter(pa.array((have[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1))
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(wanted, documents.select("doc_id", "text").schema)
+    return through(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted, documents.select("doc_id", "text").schema)
 
 
 def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -211,8 +230,9 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int)
                 ok[i] = 100 * shared >= percent * (len(both) - shared)
         return [ok]
 
-    ta, tb = (texts.select(F.col("doc_id").alias(f"id{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(tb, pairs["b"] == tb["idb"]).join(ta, F.col("a") == F.col("ida"))
+    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    both = spread(pairs.join(tb, "b"), ta.join(n, "a"), "a")
     return appended(both, ["ta", "tb"], [T.StructField("linked", T.BooleanType())], compare, ["a", "b"]).where("linked").select("a", "b").distinct()
 
 
@@ -222,11 +242,10 @@ def components(links: DataFrame, where: str) -> DataFrame:
     sign = None
     for step in range(1, 100):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = large.join(low, F.col("u") == F.col("w"))
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread(both, least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread(large, low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         edges = written(small, f"{where}/{step}")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if step > 1:
@@ -272,6 +291,33 @@ def _tiles(placed: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
     return one.unionByName(two).unionByName(rows.select(tile, side.alias("side"), "rep")).distinct()
 
 
+def _near_tiles(tiles: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The rows (tile, side, rep) of tiles whose signature is within reach of another one's that they are compared with."""
+    least = reach(percent)
+    own = signatures.select(F.col("doc_id").alias("rep"), "signature")
+    full = tiles.join(own, "rep").groupBy("tile").agg(F.collect_list(F.struct("side", "rep", "signature")).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column(1)[i].values
+                side, rep = (rows.field(k).to_numpy() for k in (0, 1))
+                if len(rep) < 2:
+                    continue
+                sig = flat(rows.field(2))[0].reshape(len(rep), -1)
+                near = np.zeros(len(rep), bool)
+                left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+                for k in left.tolist():
+                    hit = right[(estimated(sig[k], sig[right]) >= least) & (rep[right] != rep[k])]
+                    near[hit] = True
+                    near[k] |= len(hit) > 0
+                found = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), i))), pa.array(side[found]), pa.array(rep[found])], names=["tile", "side", "rep"])
+        release()
+
+    return through(full, run, tiles.select("tile", "side", "rep").schema)
+
+
 def _links_of_tiles(documents: DataFrame, tiles: DataFrame, size: int, percent: int) -> DataFrame:
     """The links (a, b) in tiles: rows of side 0 against side 1, rows of side 2 against each other, all on full sets."""
     ids = tiles.select(F.col("rep").alias("id")).distinct()
@@ -305,7 +351,7 @@ def _links_of_tiles(documents: DataFrame, tiles: DataFrame, size: int, percent:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         release()
 
-    return full.select("rows").mapInArrow(run, "a long, b long").distinct()
+    return through(full.select("rows"), run, "a long, b long").distinct()
 
 
 def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -315,23 +361,25 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(sketches(documents, size), f"{where}/sketches")
     filled = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = filled.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    classes = filled.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     first = filled.join(classes.select(F.col("rep").alias("r"), F.col("fingerprint").alias("f")), (F.col("doc_id") == F.col("r")) & (F.col("fingerprint") == F.col("f")))
     placed = first.select(F.explode("buckets").alias("key"), F.col("doc_id").alias("rep"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select(F.col("key").alias("k"), "hub")
-    members = written(placed.join(shared, F.col("key") == F.col("k")).where("rep != hub").select("key", "hub", "rep"), f"{where}/members")
+    shared = placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").select("key", "hub", "n")
+    members = written(spread(placed, shared, "key").where("rep != hub").select("key", "hub", "rep"), f"{where}/members")
     pairs = written(_in_reach(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), filled, percent), f"{where}/pairs1")
     links = written(_confirmed(documents, pairs, size, percent), f"{where}/links1")
     roots = components(links, f"{where}/components1")
     placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")).distinct()
     counts = filled.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
-    tiles = written(_tiles(placed, roots, counts), f"{where}/tiles")
+    tiles = written(_near_tiles(_tiles(placed, roots, counts), filled, percent), f"{where}/tiles")
     found = written(_links_of_tiles(documents, tiles, size, percent), f"{where}/links2")
     if found.limit(1).count():
         roots = components(links.union(found), f"{where}/components2")
-    of_class = filled.select("doc_id", "fingerprint").join(classes, "fingerprint").select(F.col("doc_id").alias("id"), "rep")
+    for done in ("members", "pairs1", "links1", "tiles", "links2"):
+        delete(spark, f"{where}/{done}")
+    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("label"), "n")
     # rows that share a doc_id are one document, whatever their texts: the smallest label holds for all
-    label = of_class.join(roots, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("label"))
+    label = spread(filled.select(F.col("doc_id").alias("id"), "fingerprint"), of_class, "fingerprint").groupBy("id").agg(F.min("label").alias("label"))
     out = sketch.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("label", "doc_id").alias("component_id")
     return out.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == F.coalesce("label", "doc_id"), F.lit(True)).alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gemello.llm import word_pairs
-from gemello.llm.text import SPACE, appended, flat, hashes, mix, release, runs, slices, words
+from gemello.llm.text import SPACE, appended, flat, hashes, mix, release, runs, slices, through, words
 
 ORDER = 4
 BITS = 6
@@ -169,7 +169,7 @@ def counts(documents: DataFrame) -> DataFrame:
         yield from out()
         release()
 
-    parts = documents.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, gram long, n long")
+    parts = through(documents.select(F.col("lang").cast("string").alias("lang"), "text"), run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -345,7 +345,7 @@ def segments(texts: DataFrame, some_models: list[Model]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place), pa.array(least), pa.array(length)], names=["key", "segment", "excess", "n_grams"])
         release()
 
-    return texts.select("key", "text").mapInArrow(run, "key string, segment long, excess double, n_grams long")
+    return through(texts.select("key", "text"), run, "key string, segment long, excess double, n_grams long")
 
 
 def bands(log_perplexity: DataFrame, wide: tuple[float, float] = WIDE, of: str = "log_perplexity") -> list[tuple[str | None, float, float, float]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemello.llm.text import appended, flat, shared_dir, words, written
+from gemello.llm.text import appended, flat, shared_dir, through, words, written
 
 BLOCK_WORDS = 512
 SLOTS_A_CHUNK = 1 << 16
@@ -152,7 +152,7 @@ def schedule(spark, sources: list[Source], block: int = BLOCK_WORDS) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c)), pa.array(found), pa.array(np.diff(cuts).astype(np.int64)), lists], names=["chunk", "sid", "n", "slots"])
 
-    found = written(chunks.mapInArrow(hits, "chunk long, sid int, n long, slots array<long>"), f"{shared_dir(spark)}/slots")
+    found = written(through(chunks, hits, "chunk long, sid int, n long, slots array<long>"), f"{shared_dir(spark)}/slots")
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = found.select(F.col("chunk").alias("c"), F.col("sid").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     got = {r["sid"]: r["n"] for r in found.groupBy("sid").agg(F.sum("n").alias("n")).collect()}

@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 PIECE_BYTES = 1 << 19
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LONG = 256
@@ -60,6 +62,14 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def through(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(work, schema) with batches of about BATCH_BYTES, not Spark's 64 MB, unless the session has a value of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(work, schema)
+
+
 def appended(df: DataFrame, columns: list[str], fields: list[StructField], work: Callable[[list[pa.Array]], list], keep: list[str] | None = None) -> DataFrame:
     """df[keep] (all columns by default) with new columns that `work` makes from pieces of the given columns.
 
@@ -83,7 +93,7 @@ def appended(df: DataFrame, columns: list[str], fields: list[StructField], work:
                 del part, made, new
         release()
 
-    return inner.mapInArrow(run, schema)
+    return through(inner, run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
