@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gemello.llm import bpe, minhash_dedup, quality_mil, source_mix, toxicity_crf
-from gemello.llm.text import read, shared_dir, written
+from gemello.llm.text import delete, read, shared_dir, written
 
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
@@ -86,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"{where}/{i}")
+            if i:
+                delete(spark, f"{where}/{i - 1}")
     return docs
