@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gemello.llm.text import delete, shared_dir, written
 
 #: Characters of all sampled texts together, which bounds the driver's memory; texts of any length take part, whole.
-MOST_CHARS = 40_000_000
+MOST_CHARS = 10_000_000
 
 
 def held_out(modulus: int, remainder: int):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gemello.llm.labelled import held_out, sample
-from gemello.llm.text import appended, flat, hashes, lower, mix, words
+from gemello.llm.text import appended, flat, hashes, lower, mix, release, words
 
 PASSAGE = 48
 SAMPLE = {0: 1500, 1: 2000}
@@ -88,11 +88,6 @@ class Model:
         return _forward(self.weights, self.encoded(x), bag)[:2]
 
 
-def _sums(values: np.ndarray, bag: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
-    return upto[bag[1:]] - upto[bag[:-1]]
-
-
 def _forward(w: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray):
     h = np.maximum(x @ w["encode"] + w["encode0"], 0)
     t = np.tanh(h @ w["tanh"] + w["tanh0"])
@@ -142,7 +137,9 @@ def fitted(texts: list[str], labels: list[int]) -> Model | None:
 
 
 def learned(documents: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Model | None:
-    return fitted(*sample(documents, labels, "quality", modulus, remainder, SAMPLE))
+    model = fitted(*sample(documents, labels, "quality", modulus, remainder, SAMPLE))
+    release()
+    return model
 
 
 def scored(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gemello.llm.labelled import held_out, sample
-from gemello.llm.text import appended, flat, hashes, mix, runs
+from gemello.llm.text import appended, flat, hashes, mix, release, runs
 
 SAMPLE = {1: 1200, 0: 2400}
 BLOCK = 64
+STEP_TOKENS = 1 << 18  # chains of about so many tokens are held at once while learning
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 CHANCE = 0.05
 STEPS, RATE, DECAY = 30, 0.5, 2e-4
@@ -81,16 +82,25 @@ def tokens(col: pa.Array) -> Tokens:
 
 def many_tokens(texts: list[str], piece: int = 128) -> Tokens:
     """The tokens of many texts, taken a piece at a time; without their bytes."""
-    parts = [tokens(pa.array(texts[i : i + piece], pa.string())) for i in range(0, len(texts), piece)]
-    _, example, kind = np.unique(np.concatenate([t.features[:, 0] for t in parts]), return_index=True, return_inverse=True)
-    features = np.concatenate([t.features for t in parts])[example]
-    types = np.cumsum([0, *[len(t.features) for t in parts]])
-    count = np.cumsum([0, *[len(t.kind) for t in parts]])
-    own = np.concatenate([kind[a + t.kind] for a, t in zip(types, parts)]).astype(np.int32)
-    at = np.concatenate([[0], *[t.at[1:] + n for n, t in zip(count, parts)]])
-    first = np.concatenate([t.first + n for n, t in zip(count, parts)])
+    parts = []
+    for i in range(0, len(texts), piece):
+        t = tokens(pa.array(texts[i : i + piece], pa.string()))
+        parts.append((t.features, t.kind.astype(np.int32), t.at, t.first, t.size))
+        del t
+    all_features, kinds, ats, firsts, sizes = zip(*parts)
+    del parts
+    _, example, place = np.unique(np.concatenate([f[:, 0] for f in all_features]), return_index=True, return_inverse=True)
+    types = np.cumsum([0, *map(len, all_features)])
+    count = np.cumsum([0, *map(len, kinds)])
+    features = np.empty((len(example), all_features[0].shape[1]), np.uint64)
+    part = np.searchsorted(types, example, "right") - 1
+    for k, f in enumerate(all_features):
+        features[part == k] = f[example[part == k] - types[k]]
+    own = np.concatenate([place[a + kind] for a, kind in zip(types, kinds)], dtype=np.int32, casting="same_kind")
+    at = np.concatenate([[0], *[x[1:] + n for n, x in zip(count, ats)]])
+    first = np.concatenate([x + n for n, x in zip(count, firsts)])
     empty = np.zeros(0, np.int64)
-    return Tokens(np.zeros(0, np.uint8), empty, empty, empty, at, own, features, first, np.concatenate([t.size for t in parts]))
+    return Tokens(np.zeros(0, np.uint8), empty, empty, empty, at, own, features, first, np.concatenate(sizes))
 
 
 def _messages(e: np.ndarray, first: np.ndarray, size: np.ndarray, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +238,6 @@ def token_labels(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(t.features)
     pairs = np.unique(doc * np.int64(n) + t.kind)
     doc_of, kind_of = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
-    del pairs
     bad_type = np.zeros(n, bool)
     bad_type[kind_of[toxic[doc_of]]] = True
     # only features of toxic texts can be chosen; each counts once a text, and a column of them is taken at a time
@@ -242,18 +251,24 @@ def token_labels(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = np.unique(doc_of[own >= 0] * np.int64(max(len(keys), 1)) + own[own >= 0])
         docs.append((both // max(len(keys), 1)).astype(np.int32))
         found.append((both % max(len(keys), 1)).astype(np.int32))
-    doc_of, key_of = np.concatenate(docs), np.concatenate(found)
-    del docs, found, kind_of
+    del kind_of, doc_of, pairs
+    columns = list(zip(docs, found))  # never one array of all, which would be the largest thing that learning holds
+    del docs, found
+
+    def times(which: np.ndarray) -> np.ndarray:
+        """How many of the texts in `which` have each feature."""
+        return sum((np.bincount(k[which[d]], minlength=len(keys)) for d, k in columns), np.zeros(len(keys)))
+
     none = keys == 0  # stands for a beginning that the word doesn't go beyond
     chosen = np.zeros(len(keys), bool)
     explained = ~toxic
-    clean = np.bincount(key_of[~toxic[doc_of]], minlength=len(keys)).astype(float)
+    clean = times(~toxic)
     for _ in range(50):
         open_ = toxic & ~explained
         if not open_.any():
             break
         rate = open_.sum() / (open_.sum() + (~toxic).sum())
-        bad = np.bincount(key_of[open_[doc_of]], minlength=len(keys)).astype(float)
+        bad = times(open_)
         total = bad + clean
         p = np.clip(bad / np.maximum(total, 1), 1e-9, 1 - 1e-9)
         gain = bad * np.log(p / rate) + clean * np.log((1 - p) / (1 - rate))
@@ -265,7 +280,8 @@ def token_labels(t: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         best = found & (gain >= 0.5 * gain.max())
         chosen |= best
-        explained[doc_of[chosen[key_of]]] = True
+        for d, k in columns:
+            explained[d[chosen[k]]] = True
     labels = (chosen[place] & (place >= 0)).any(1)[t.kind] & toxic[doc] if len(keys) else np.zeros(len(t.kind), bool)
     return labels, explained
 
@@ -293,7 +309,9 @@ def fitted(texts: list[str], toxic: list[int]) -> Model | None:
         return None
     third = np.arange(len(y)) % 3 == 2
     part = tagger([x for x, own in zip(texts, third, strict=True) if not own], y[~third])
+    release()
     model = tagger(texts, y)
+    release()
     if model is None:
         return None
     model.head = headed([x for x, own in zip(texts, third, strict=True) if own], y[third], part or model)
@@ -304,14 +322,18 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
     if not y.any():
         return None
     t = many_tokens(texts)
+    release()
     labels, explained = token_labels(t, y)
+    release()
     doc = np.repeat(np.arange(len(y)), np.diff(t.at))
     # sentences of explained texts; of clean texts as many sentences as it takes to know the common words
     sentence_doc = doc[t.first]
     use = explained[sentence_doc]
+    del doc, sentence_doc
     first, size = t.first[use], t.size[use]
     own = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    kind, truth = t.kind[own], labels[own].astype(float)
+    kind, truth = t.kind[own], labels[own]
+    del own, labels
     start = np.cumsum(size) - size
     keys, place = np.unique(t.features.reshape(-1), return_inverse=True)
     width = t.features.shape[1]
@@ -321,14 +343,19 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
     keys = np.append(np.uint64(0), keys[often])
     w, bias, move = np.zeros(len(keys)), -4.0, np.zeros((2, 2))
     gw, gb, gm = np.full(len(keys), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    before = np.append(0, truth[:-1]).astype(int)
-    before[start] = 0
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (before, truth.astype(int)), 1)
+    before = np.append(False, truth[:-1])
+    before[start] = False
+    seen = np.array([[(~before & ~truth).sum(), (~before & truth).sum()], [(before & ~truth).sum(), (before & truth).sum()]], float)
+    cuts = [*dict.fromkeys(np.searchsorted(start, range(0, len(truth), STEP_TOKENS)).tolist()), len(start)]
+    upto = np.append(start, len(truth))
     scale = 1 / max(truth.sum(), 1)
     for _ in range(STEPS):
-        p, pairs = marginals((bias + w[place].sum(1))[kind], start, size, move)
-        miss = np.bincount(kind, (truth - p) * scale, len(t.features))
+        emission, miss, pairs = bias + w[place].sum(1), np.zeros(len(t.features)), np.zeros((2, 2))
+        for lo, hi in zip(cuts, cuts[1:]):
+            on = slice(upto[lo], upto[hi])
+            p, own = marginals(emission[kind[on]], start[lo:hi] - start[lo], size[lo:hi], move)
+            miss += np.bincount(kind[on], (truth[on] - p) * scale, len(miss))
+            pairs += own
         grad = np.bincount(place.reshape(-1), np.repeat(miss, width), len(keys)) - DECAY * w
         grad[0] = 0
         gw += grad * grad
@@ -346,7 +373,9 @@ def tagger(texts: list[str], y: np.ndarray) -> Model | None:
 
 
 def learned(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model | None:
-    return fitted(*sample(documents, labels, "toxic", modulus, remainder, SAMPLE))
+    model = fitted(*sample(documents, labels, "toxic", modulus, remainder, SAMPLE))
+    release()
+    return model
 
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
