@@ -13,7 +13,8 @@ minimum the low BITS bits are kept in a packed signature. Classes that share a b
    which leave the classes that have another one within reach in the tile, then those on their full sets; only links
    leave a tile. The links of both steps give the final components.
 
-A fingerprint, bucket, hub or root may hold a large share of all rows: joins on them are salted (`spread`).
+A fingerprint, bucket or hub may hold a large share of all rows: joins on them are salted (`spread`). Star steps join rows
+of two ids, which adaptive execution splits where one root has too many of them.
 
 So every candidate pair is either confirmed, out of reach, or within one component already; no bucket is capped and no
 group is collected. A pair of similarity 0.8 shares no bucket with a probability below 5e-6, and is estimated below
@@ -242,10 +243,11 @@ def components(links: DataFrame, where: str) -> DataFrame:
     sign = None
     for step in range(1, 100):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = spread(both, least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread(large, low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        # rows are pairs of ids: a root's share of them is far below a task's memory, and adaptive execution splits what isn't
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
         edges = written(small, f"{where}/{step}")
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if step > 1:
