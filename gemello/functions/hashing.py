@@ -107,3 +107,34 @@ def phash_parts(blob: Column, header: bool = False) -> Column:
 def midpoints(duration_ms: Column, n: int = 6) -> Column:
     """The middle of each of n equal parts, in whole milliseconds."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(duration_ms * (2 * i + 1) / (2 * n)))
+
+
+def decoded_digest(value: Column, digits: int = 64) -> Column:
+    """The bytes of a lower-case hexadecimal digest; null where it isn't one."""
+    return F.when(is_digest(value, digits), F.unhex(value))
+
+
+def big_endian_bands(hash_: Column, size: int = 32) -> Column:
+    """A binary hash as big-endian 64-bit numbers, signed as Spark's are."""
+    return F.array(*[F.conv(F.hex(F.substring(hash_, 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(size // 8)])
+
+
+def xorshift64(state: Column) -> Column:
+    """The next state of the 64-bit generator with shifts 13, 7 and 17."""
+    x = state.bitwiseXOR(F.shiftleft(state, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
+def next_limit(current: Column, hard: Column, bps: Column, before_bps: Column, p95: Column, before_p95: Column, enough: Column, all_busy: Column, queued: Column) -> Column:
+    """The next limit of concurrent reads of a disk.
+
+    Without enough of a sample it stays; a drop of more than 8 % in throughput or a doubled wait takes a quarter off (one
+    at least, down to 1); a gain of 5 % or waiting work adds one, unless all workers are busy or the limit is reached.
+    """
+    now = F.least(F.greatest(current, F.lit(1)), F.greatest(hard, F.lit(1)))
+    change = F.when(before_bps > 0, (bps - before_bps) / before_bps)
+    worse = F.coalesce(change < -0.08, F.lit(False)) | ((before_p95 > 0) & (p95 > 2 * before_p95))
+    better = F.coalesce(change >= 0.05, F.lit(False)) | (queued > 0)
+    less = F.greatest(now - F.greatest(F.floor(now / 4), F.lit(1)), F.lit(1))
+    return F.when(~enough, now).when(worse, less).when(all_busy | (now >= hard), now).when(better, now + 1).otherwise(now).cast("long")

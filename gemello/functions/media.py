@@ -121,3 +121,29 @@ def features(pixels: Column, width: Column, height: Column) -> Column:
         return pd.DataFrame(rows, columns=["pdq", "quality", "parts", "histogram"])
 
     return made(pixels, width, height)
+
+
+def sobel_blob(histogram: Column, header: bool = False) -> Column:
+    """A gradient histogram as little-endian 32-bit floats, with the first profile's header (1, 4, 8, 0) if asked for."""
+
+    @F.pandas_udf("binary")
+    def encode(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else (bytes([1, 4, 8, 0]) if header else b"") + np.asarray(v, "<f4").tobytes())
+
+    return encode(histogram)
+
+
+def sobel_histogram(blob: Column, header: bool = False) -> Column:
+    """The histogram of a blob; null where its header or length is wrong."""
+
+    @F.pandas_udf("array<float>")
+    def decode(column: pd.Series) -> pd.Series:
+        def one(raw):
+            if raw is None or (header and raw[:4] != bytes([1, 4, 8, 0])):
+                return None
+            body = raw[4:] if header else raw
+            return np.frombuffer(body, "<f4") if len(body) % 4 == 0 else None
+
+        return column.map(one)
+
+    return decode(blob)

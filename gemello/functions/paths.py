@@ -66,3 +66,11 @@ def tsv(value: Column) -> Column:
     for raw, shown in (("\t", "\\x09"), ("\r", "\\x0d"), ("\n", "\\x0a"), ("\0", "\\x00")):
         value = F.replace(value, F.lit(raw), F.lit(shown))
     return value
+
+
+def task_root(path: Column) -> Column:
+    """A task's root, cleaned and in lower case; null where it has a parent component, isn't absolute or is a whole drive or share."""
+    clean = F.rtrim(normalized(path), F.lit("\\"))
+    parents = F.array_contains(F.split(F.replace(path, F.lit("/"), F.lit("\\")), r"\\"), "..")
+    whole = clean.rlike(r"^[A-Z]:$") | clean.rlike(r"^\\\\[^\\]+\\[^\\]+$")
+    return F.when(~parents & ~whole, F.lower(clean))

@@ -158,3 +158,17 @@ def shards(items: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
 def fair_order(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """rows with turn: the first of each value of `by`, then the second of each, and so on."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def applied_results(files_: DataFrame, members_: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply delete results (file_id, ok) once: files with their status after it, and the groups' live members after it.
+
+    A file whose deletion succeeded is deleted, one that failed stays as it was. Groups (group_id, n_left, released) lose
+    their deleted members; with fewer than two left they are dissolved.
+    """
+    done = results.where("ok").select("file_id").distinct().withColumn("__gone", F.lit(True))
+    after = files_.join(done, "file_id", "left").withColumn("status", F.when(F.col("__gone"), "deleted").otherwise(F.col("status"))).drop("__gone")
+    own = members_.join(done, "file_id", "left").groupBy("group_id").agg(
+        F.sum(F.when(F.col("__gone").isNull(), 1).otherwise(0)).alias("n_left"), F.sum(F.when(F.col("__gone"), F.col("size")).otherwise(0)).alias("released")
+    )
+    return after, own.withColumn("dissolved", F.col("n_left") < 2)

@@ -66,11 +66,11 @@ components AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)"""
 _COS_SQL = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
 
 
-def _exact_locations(spark, d, taken="true"):
-    """Connected contents expanded to live copies of the taken files, groups of two contents or more."""
+def _exact_locations(spark, d):
+    """Connected contents expanded to live copies, groups of two contents or more."""
     comp = cluster.connected_components(edges(spark, d))
     i = images(spark, d).select(F.col("image_id"), F.concat(F.lit("content"), F.col("image_id").cast("string")).alias("content"))
-    f = files(spark, d).where(taken).select("file_id", "machine_id", "path", "status", F.concat(F.lit("content"), (F.col("file_id") % 500).cast("string")).alias("content"))
+    f = files(spark, d).select("file_id", "machine_id", "path", "status", F.concat(F.lit("content"), (F.col("file_id") % 500).cast("string")).alias("content"))
     named = comp.join(i, F.col("node") == F.col("image_id")).select(F.col("content").alias("node"), "component")
     return cluster.confirmed_groups(named, f).select("component", "node", "file_id")
 
@@ -146,18 +146,12 @@ CATALOG = {
         f"""WITH RECURSIVE {EDGES}{_REACH} SELECT node, component, CASE WHEN node = component THEN 1.0 ELSE 1 - distance / 256.0::DOUBLE END AS stage1
         FROM components LEFT JOIN edges ON "left" = component AND "right" = node""",
     ),
-    "c14_confirmed_groups_whole": (
+    "c14_confirmed_groups": (
         _exact_locations,
         f"""WITH RECURSIVE {EDGES}{_REACH}, {FILES}, live AS (
             SELECT component, 'content' || node AS node, file_id FROM components JOIN files ON file_id % 500 = node AND status <> 'deleted')
         SELECT component, node, file_id FROM live WHERE component IN (SELECT component FROM live GROUP BY 1 HAVING count(DISTINCT node) >= 2)""",
     ),
-    "c14_confirmed_groups": (
-        lambda s, d: _exact_locations(s, d, "file_id % 2 = 0"),
-        f"""WITH RECURSIVE {EDGES}{_REACH}, {FILES}, live AS (
-            SELECT component, 'content' || node AS node, file_id FROM components JOIN files ON file_id % 500 = node AND file_id % 2 = 0 AND status <> 'deleted')
-        SELECT component, node, file_id FROM live WHERE component IN (SELECT component FROM live GROUP BY 1 HAVING count(DISTINCT node) >= 2)""",
-    ),
     "c15_member_explanation": (
         lambda s, d: cluster.best_edge(edges(s, d).withColumn("score", scoring.stage1_score(F.col("distance"))), "score").select("node", F.to_json(F.struct(F.lit("member").alias("role"), F.col("left"), F.col("right"))).alias("explanation")),
         f"""WITH {EDGES}, ends AS (SELECT "left" AS node, * FROM edges UNION ALL SELECT "right", * FROM edges)
@@ -187,14 +181,9 @@ CATALOG = {
         lambda s, d: (lambda i: i.alias("a").join(i.alias("b"), F.col("b.image_id") == F.col("a.image_id") + 1).select(F.col("a.image_id").alias("image_id"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine")))(images(s, d)),
         f"WITH {IMAGES} SELECT a.image_id, round({_COS_SQL}, 6) AS cosine FROM images a JOIN images b ON b.image_id = a.image_id + 1",
     ),
-    "s16_ordered_lookup_whole": (
+    "s16_ordered_lookup": (
         lambda s, d: joins.numbered(edges(s, d).select(F.col("left").alias("asked")).distinct(), "asked").join(images(s, d).select("image_id", "quality"), F.col("asked") == F.col("image_id"), "left").select("pos", "asked", "quality"),
         f"""WITH {EDGES}, k AS (SELECT DISTINCT "left" AS asked FROM edges)
         SELECT row_number() OVER (ORDER BY asked) - 1 AS pos, asked, asked * 37 % 101 AS quality FROM k""",
     ),
-    "s16_ordered_lookup": (
-        lambda s, d: joins.in_order(edges(s, d).groupBy().agg(F.sort_array(F.collect_set("left")).alias("all")).select(F.slice("all", 1, 50).alias("keys")), "keys", images(s, d).select("image_id", "quality"), "image_id").select("pos", "asked", "quality"),
-        f"""WITH {EDGES}, k AS (SELECT DISTINCT "left" AS asked FROM edges ORDER BY 1 LIMIT 50)
-        SELECT CAST(row_number() OVER (ORDER BY asked) - 1 AS INTEGER) AS pos, asked, asked * 37 % 101 AS quality FROM k""",
-    ),
 }

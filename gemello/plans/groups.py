@@ -136,10 +136,6 @@ CATALOG = {
         f"WITH {MEMBERS} SELECT group_id, count(*) AS n FROM members WHERE review = 'delete' GROUP BY 1",
     ),
     "j21_delete_request": (
-        lambda s, d: files(s, d).where("file_id % 2 = 0").join(g.ranked(_m(s, d)).select(F.col("file_id").alias("m_id"), "group_id", "rep_rank"), F.col("file_id") == F.col("m_id"), "left").select("file_id", "group_id", F.coalesce(F.col("rep_rank") == 1, F.lit(False)).alias("is_representative")),
-        f"WITH {_RANKED} SELECT f.file_id, r.group_id, coalesce(r.rep_rank = 1, FALSE) AS is_representative FROM files f LEFT JOIN ranked r ON r.file_id = f.file_id WHERE f.file_id % 2 = 0",
-    ),
-    "j21_delete_request_whole": (
         lambda s, d: files(s, d).join(g.ranked(_m(s, d)).select(F.col("file_id").alias("m_id"), "group_id", "rep_rank"), F.col("file_id") == F.col("m_id"), "left").select("file_id", "group_id", F.coalesce(F.col("rep_rank") == 1, F.lit(False)).alias("is_representative")),
         f"WITH {_RANKED} SELECT f.file_id, r.group_id, coalesce(r.rep_rank = 1, FALSE) AS is_representative FROM files f LEFT JOIN ranked r ON r.file_id = f.file_id",
     ),
@@ -256,10 +252,6 @@ CATALOG = {
         SELECT mark, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes FROM q GROUP BY 1""",
     ),
     "c25_delete_prepare": (
-        lambda s, d: g.ranked(_m(s, d)).where("file_id % 2 = 1").select("file_id", "machine_id", "path", F.when(F.col("rep_rank") == 1, "is_representative").otherwise("ok").alias("check")),
-        f"WITH {_RANKED} SELECT file_id, machine_id, path, CASE WHEN rep_rank = 1 THEN 'is_representative' ELSE 'ok' END AS \"check\" FROM ranked WHERE file_id % 2 = 1",
-    ),
-    "c25_delete_prepare_whole": (
         lambda s, d: g.ranked(_m(s, d)).select("file_id", "machine_id", "path", F.when(F.col("rep_rank") == 1, "is_representative").otherwise("ok").alias("check")),
         f"WITH {_RANKED} SELECT file_id, machine_id, path, CASE WHEN rep_rank = 1 THEN 'is_representative' ELSE 'ok' END AS \"check\" FROM ranked",
     ),

@@ -49,16 +49,12 @@ CATALOG = {
     ),
     "s18_snapshot_page": (lambda s, d: files(s, d).select("file_id", "path").where("file_id > 100").orderBy("file_id").limit(250), f"WITH {FILES} SELECT file_id, path FROM files WHERE file_id > 100 ORDER BY file_id LIMIT 250"),
     "s21_find_member": (lambda s, d: members(files(s, d)).where("machine_id = 'src7'").select("group_id", "path", "size"), f"WITH {MEMBERS} SELECT group_id, path, size FROM members WHERE machine_id = 'src7'"),
-    "s23_ordered_candidates": (lambda s, d: edges(s, d).select("left", "right").orderBy("left", "right").limit(40), f'WITH {EDGES} SELECT "left", "right" FROM edges ORDER BY 1, 2 LIMIT 40'),
+    "s23_ordered_candidates": (lambda s, d: edges(s, d).select("left", "right").orderBy("left", "right"), f'WITH {EDGES} SELECT "left", "right" FROM edges ORDER BY 1, 2'),
     "s24_collected_inputs": (
         lambda s, d: (lambda f: f.where("disk_no = 0").select("content", "size", F.lit(True).alias("a")).unionByName(f.where("disk_no = 1").select("content", "size", (F.col("status") == "active").alias("a"))).groupBy("content", "size").agg(F.bool_or("a").alias("available")))(files(s, d)),
         f"WITH {FILES} SELECT content, size, bool_or(disk_no = 0 OR status = 'active') AS available FROM files WHERE disk_no IN (0, 1) GROUP BY 1, 2",
     ),
     "s27_event_batch": (
-        lambda s, d: changes(s, d).where("seq % 10 = 0").join(files(s, d).select(F.col("file_id").alias("entity"), "path"), "entity", "left").select("seq", "entity", "path"),
-        f"WITH {CHANGES}, {FILES} SELECT seq, entity, path FROM changes LEFT JOIN files ON file_id = entity WHERE seq % 10 = 0",
-    ),
-    "s27_event_batch_whole": (
         lambda s, d: changes(s, d).join(files(s, d).select(F.col("file_id").alias("entity"), "path"), "entity", "left").select("seq", "entity", "path"),
         f"WITH {CHANGES}, {FILES} SELECT seq, entity, path FROM changes LEFT JOIN files ON file_id = entity",
     ),
@@ -167,10 +163,6 @@ CATALOG = {
         lambda s, d: (lambda c: c.groupBy("component").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("nodes")).select("component", cluster.group_id(F.lit("run"), F.lit("image"), F.array_join("nodes", "\0")).alias("group_id")))(cluster.connected_components(edges(s, d))),
         None,
     ),
-    "c16_recovered_pairs": (
-        lambda s, d: members(files(s, d)).groupBy("group_id").agg(F.collect_set("machine_id").alias("m")).where("size(m) = 2").select("group_id", F.array_min("m").alias("left"), F.array_max("m").alias("right")),
-        f'WITH {MEMBERS} SELECT group_id, min(machine_id) AS "left", max(machine_id) AS "right" FROM members GROUP BY 1 HAVING count(DISTINCT machine_id) = 2',
-    ),
     "c17_final_barrier": (
         lambda s, d: edges(s, d).select("left", "right", F.when(F.col("left") % 4 == 0, F.lit("inconclusive")).when(F.col("distance") <= 20, "yes").otherwise("no").alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")),
         f"""WITH {EDGES} SELECT CASE WHEN "left" % 4 = 0 THEN 'inconclusive' WHEN distance <= 20 THEN 'yes' ELSE 'no' END AS verdict, count(*) AS n FROM edges GROUP BY 1""",
@@ -188,11 +180,6 @@ CATALOG = {
         lambda s, d: files(s, d).where("review = 'delete'").select("machine_id", F.sha2(F.concat_ws("|", "machine_id", "path", "size", "mtime"), 256).alias("digest")),
         f"WITH {FILES} SELECT machine_id, sha256(machine_id || '|' || path || '|' || size || '|' || mtime) AS digest FROM files WHERE review = 'delete'",
     ),
-    "c28_applied_results": (
-        lambda s, d: (lambda m: m.withColumn("result", F.when(F.col("review") == "delete", F.when(F.col("file_id") % 5 == 0, "failed").otherwise("deleted")).otherwise("kept")).groupBy("result").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_bytes")))(members(files(s, d))),
-        f"WITH {MEMBERS} SELECT CASE WHEN review = 'delete' THEN CASE WHEN file_id % 5 = 0 THEN 'failed' ELSE 'deleted' END ELSE 'kept' END AS result, count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes FROM members GROUP BY 1",
-    ),
-    "f03_bands": (lambda s, d: images(s, d).select("image_id", F.array_join("bands", ",").alias("bands")), f"WITH {IMAGES} SELECT image_id, array_to_string(bands, ',') AS bands FROM images"),
     "f04_shares_band": (
         lambda s, d: (lambda i: i.alias("a").join(i.alias("b"), F.col("b.image_id") == F.col("a.image_id") + 1).where(hashing.shares_band(F.col("a.bands8"), F.col("b.bands8"))).agg(F.count(F.lit(1)).alias("n")))(images(s, d)),
         f"WITH {IMAGES} SELECT count(*) AS n FROM images a JOIN images b ON b.image_id = a.image_id + 1 WHERE {' OR '.join(f'a.bands8[{i}] = b.bands8[{i}]' for i in range(1, 9))}",
@@ -213,10 +200,6 @@ CATALOG = {
         lambda s, d: changes(s, d).withColumn("start", F.min("seq").over(Window.partitionBy("entity"))).where(F.col("seq") <= F.col("start") + 3000).groupBy("entity").agg(F.count(F.lit(1)).alias("in_time")),
         f"WITH {CHANGES}, c AS (SELECT *, min(seq) OVER (PARTITION BY entity) AS start FROM changes) SELECT entity, count(*) AS in_time FROM c WHERE seq <= start + 3000 GROUP BY 1",
     ),
-    "a10_video_means": (
-        lambda s, d: table(s, d, "conversations").where("turn < 6").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_valid"), F.sum((F.length("text") > 100).cast("long")).alias("n_passed"), F.sum("turn").alias("total")),
-        "SELECT conv_id, count(*) AS n_valid, count(*) FILTER (length(text) > 100) AS n_passed, CAST(sum(turn) AS BIGINT) AS total FROM conversations WHERE turn < 6 GROUP BY 1",
-    ),
     "a11_exact_rank_by_machine": (
         lambda s, d: stats.nearest_rank_95(files(s, d), ["machine_id"], "size"),
         f"WITH {FILES}, r AS (SELECT machine_id, size, row_number() OVER (PARTITION BY machine_id ORDER BY size) AS i, count(*) OVER (PARTITION BY machine_id) AS n FROM files) SELECT machine_id, size AS p95 FROM r WHERE i = (95 * n + 99) // 100",

@@ -47,9 +47,8 @@ CATALOG = {
         f"WITH {FILES} SELECT file_id, CASE WHEN file_id % 2 <> 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 <> 0 THEN 2 ELSE 0 END + CASE WHEN file_id % 5 <> 0 THEN 8 ELSE 0 END AS missing FROM files",
     ),
     "s28_container_metadata": (
-        lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_streams"), F.to_json(F.slice(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), 1, 3)).alias("streams")).select("user_id", "n_streams", "streams"),
-        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
-        SELECT user_id, count(*) AS n_streams, '[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' ORDER BY event_id) FILTER (i <= 3) || ']' AS streams FROM r GROUP BY 1""",
+        lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_streams"), F.to_json(F.sort_array(F.collect_list(F.struct("event_id", "event_type")))).alias("streams")).select("user_id", "n_streams", "streams"),
+        """SELECT user_id, count(*) AS n_streams, '[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' ORDER BY event_id) || ']' AS streams FROM events GROUP BY 1""",
     ),
     "p01_live": (lambda s, d: files(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"WITH {FILES} SELECT status, count(*) AS n FROM files GROUP BY 1"),
     "p05_path_contains": (lambda s, d: files(s, d).where(paths.contains_text(F.col("path"), "SRC1/")).select("file_id"), f"WITH {FILES} SELECT file_id FROM files WHERE strpos(lower(path), 'src1/') > 0"),
