@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 FEW = 200_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "/tmp/checkpoints"
+    return f"{where}/gemello-{uuid.uuid4().hex}"
+
+
 def shared_dir(df: DataFrame) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or /tmp where that is unset."""
-    return f"{df.sparkSession.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/gemello-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which driver and executors share; /tmp only where all run on one machine."""
+    return shared_folder(df.sparkSession)
 
 
 def written(df: DataFrame, where: str) -> DataFrame:

@@ -140,7 +140,17 @@ CATALOG = {
         lambda s, d: cluster.connected_components(edges(s, d)),
         f"WITH RECURSIVE {EDGES}{_REACH} SELECT node, component FROM components",
     ),
-    "c12_star_clusters": (lambda s, d: cluster.star_clusters(edges(s, d)), None),
+    "c12_star_clusters": (
+        lambda s, d: cluster.star_clusters(edges(s, d)),
+        f"""WITH RECURSIVE {EDGES}, links AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM edges UNION SELECT "right", "left" FROM edges),
+        near AS MATERIALIZED (SELECT a AS node, list(b) AS ends, row_number() OVER (ORDER BY a) AS i FROM links GROUP BY a),
+        scan AS (
+            SELECT 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS rep, []::BIGINT[] AS got UNION ALL
+            SELECT n.i, CASE WHEN list_contains(s.used, n.node) THEN s.used ELSE list_concat(s.used, [n.node], list_filter(n.ends, lambda x: NOT list_contains(s.used, x))) END,
+                   CASE WHEN list_contains(s.used, n.node) THEN NULL ELSE n.node END, list_filter(n.ends, lambda x: NOT list_contains(s.used, x))
+            FROM scan s JOIN near n ON n.i = s.i + 1)
+        SELECT unnest(list_concat([rep], got)) AS node, rep AS representative FROM scan WHERE rep IS NOT NULL AND len(got) > 0""",
+    ),
     "c13_location_evidence": (
         lambda s, d: cluster.connected_components(edges(s, d)).join(edges(s, d).select(F.col("left").alias("component"), F.col("right").alias("node"), scoring.stage1_score(F.col("distance")).alias("score")), ["component", "node"], "left").select("node", "component", F.when(F.col("node") == F.col("component"), 1.0).otherwise(F.col("score")).alias("stage1")),
         f"""WITH RECURSIVE {EDGES}{_REACH} SELECT node, component, CASE WHEN node = component THEN 1.0 ELSE 1 - distance / 256.0::DOUBLE END AS stage1

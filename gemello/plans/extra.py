@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gemello.functions import hashing, media, paths
@@ -42,24 +40,16 @@ _VIDEO_SQL = (
 )
 
 
-def _shared(s) -> str:
-    """A folder that driver and executors share; /tmp only where all run on one machine."""
-    where = s.conf.get("spark.checkpoint.dir", None)
-    if not where and not s.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{where or '/tmp/checkpoints'}/gemello-{uuid.uuid4().hex}"
-
-
 def _bulk_loaded(s, d):
     """Members written in one bulk load, a folder for each kind, and read back."""
-    where = _shared(s)
+    where = cluster.shared_folder(s)
     members(files(s, d)).select("kind", "group_id", "file_id", "machine_id").write.partitionBy("kind").parquet(where)
     return s.read.parquet(where).select("kind", "group_id", "file_id", "machine_id")
 
 
 def _telemetry(s, d):
     """Samples written as JSON lines and read back with a stated schema."""
-    where = _shared(s)
+    where = cluster.shared_folder(s)
     rows = changes(s, d).select("seq", "entity", "kind", "value")
     rows.write.json(where)
     return s.read.schema(rows.schema).json(where)

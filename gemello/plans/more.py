@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gemello.functions import hashing
 from gemello.operators import cluster, joins, merge, scoring, stats
-from gemello.plans.candidates import EDGES, edges
+from gemello.plans.candidates import _REACH, EDGES, edges
 from gemello.sources.inventory import CHANGES, FILES, HAMMING_SQL, IMAGES, MEMBERS, changes, files, images, members, table
 
 _CONTENTS = FILES + ", contents AS (SELECT content, size, min(file_id) AS first_id, count(*) AS n, max(quality) AS quality FROM files GROUP BY 1, 2)"
@@ -161,7 +161,8 @@ CATALOG = {
     ),
     "c11_stable_group_ids": (
         lambda s, d: (lambda c: c.groupBy("component").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("nodes")).select("component", cluster.group_id(F.lit("run"), F.lit("image"), F.array_join("nodes", "\0")).alias("group_id")))(cluster.connected_components(edges(s, d))),
-        None,
+        f"""WITH RECURSIVE {EDGES}{_REACH}
+        SELECT component, 'local-' || substr(sha256('run' || chr(0) || 'image' || chr(0) || string_agg(node::VARCHAR, chr(0) ORDER BY node::VARCHAR)), 1, 32) AS group_id FROM components GROUP BY 1""",
     ),
     "c17_final_barrier": (
         lambda s, d: edges(s, d).select("left", "right", F.when(F.col("left") % 4 == 0, F.lit("inconclusive")).when(F.col("distance") <= 20, "yes").otherwise("no").alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")),
