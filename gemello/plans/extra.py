@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gemello.functions import hashing, media, paths
-from gemello.operators import cluster, groups, joins, scoring
+from gemello.operators import cluster, groups, scoring
 from gemello.operators.config import Thresholds
-from gemello.plans.candidates import _COS_SQL, _REACH, _SLOT_SQL, EDGES, _slots, edges
+from gemello.plans.candidates import _COS_SQL, _SLOT_SQL, _slots
 from gemello.sources.inventory import CHANGES, FILES, IMAGES, MEMBERS, changes, files, images, members
 from gemello.streaming import sync
 
@@ -55,12 +55,6 @@ def _telemetry(s, d):
     return s.read.schema(rows.schema).json(where)
 
 
-def _two_live(s, d):
-    """The pair of contents of each component that has exactly two."""
-    c = cluster.connected_components(edges(s, d)).groupBy("component").agg(F.min("node").alias("left"), F.max("node").alias("right"), F.count(F.lit(1)).alias("n"))
-    return c.where("n = 2").select("left", "right")
-
-
 def _applied(s, d):
     f, m = files(s, d), members(files(s, d))
     results = m.where("review = 'delete'").select("file_id", (F.col("file_id") % 5 != 0).alias("ok"))
@@ -104,10 +98,6 @@ CATALOG = {
         lambda s, d: scoring.video_verdict(_slots(s, d)).select("left", "right", F.col("n_valid").cast("long").alias("n_valid"), F.col("n_passed").cast("long").alias("n_passed"), F.round("mean", 9).alias("mean")),
         f'WITH {_SLOT_SQL} SELECT "left", "right", n_valid, n_passed, CASE WHEN n_valid >= 4 THEN round(total / n_valid, 9) END AS mean FROM judged',
     ),
-    "c16_recovered_pairs": (
-        _two_live,
-        f'WITH RECURSIVE {EDGES}{_REACH} SELECT min(node) AS "left", max(node) AS "right" FROM components GROUP BY component HAVING count(*) = 2',
-    ),
     "c28_applied_statuses": (
         lambda s, d: _applied(s, d)[1].select("file_id", "status"),
         f"""WITH {MEMBERS}, done AS (SELECT file_id FROM members WHERE review = 'delete' AND file_id % 5 <> 0)

@@ -109,10 +109,6 @@ CATALOG = {
         f"""WITH {CHANGES}, t AS (SELECT seq, [{", ".join(repr(x) for x in merge.TRANSITIONS)}][seq % 11 + 1] AS state FROM changes)
         SELECT seq, CASE WHEN state IN ('pending', 'running') THEN 'waiting_recovery' WHEN state = 'pausing' THEN 'paused' WHEN state = 'stopping' THEN 'cancelled' ELSE state END AS state FROM t""",
     ),
-    "k29_cascade_delete": (
-        lambda s, d: files(s, d).join(changes(s, d).where("kind = 'purchase'").select(F.col("entity").alias("file_id")).distinct(), "file_id", "left_anti").select("file_id"),
-        f"WITH {FILES}, {CHANGES} SELECT file_id FROM files WHERE file_id NOT IN (SELECT entity FROM changes WHERE kind = 'purchase')",
-    ),
     "p17_task_transitions": (
         lambda s, d: (lambda c: merge.allowed(c, "origin", "to").groupBy("origin", "to").agg(F.count(F.lit(1)).alias("n")))(changes(s, d).select(F.element_at(F.array(*map(F.lit, merge.TRANSITIONS)), (F.col("seq") % 11 + 1).cast("int")).alias("origin"), F.element_at(F.array(*map(F.lit, merge.TRANSITIONS)), (F.col("entity") % 11 + 1).cast("int")).alias("to"))),
         f"""WITH {CHANGES}, names AS (SELECT [{", ".join(repr(x) for x in merge.TRANSITIONS)}] AS a), ok(origin, dest) AS (VALUES {", ".join(f"({a!r}, {b!r})" for a, bs in merge.TRANSITIONS.items() for b in bs)})
@@ -196,18 +192,6 @@ CATALOG = {
         lambda s, d: sync.fair_batch(changes(s, d).select("kind", "seq"), "kind", ["seq"], 60).select("kind", "seq"),
         f"WITH {CHANGES}, q AS (SELECT kind, seq, row_number() OVER (PARTITION BY kind ORDER BY seq) AS turn FROM changes) SELECT kind, seq FROM q ORDER BY turn, seq LIMIT 60",
     ),
-    "t09_compute_once": (
-        lambda s, d: (lambda f: f.join(f.select("content", "size").distinct().withColumn("feature", F.md5(F.col("content"))), ["content", "size"]).select("file_id", "feature"))(files(s, d)),
-        f"WITH {FILES} SELECT file_id, md5(content) AS feature FROM files",
-    ),
-    "t12_ignored_tombstones": (
-        lambda s, d: changes(s, d).where("kind != 'click'").groupBy("entity").agg(F.max("seq").alias("last")),
-        f"WITH {CHANGES} SELECT entity, max(seq) AS last FROM changes WHERE kind <> 'click' GROUP BY 1",
-    ),
-    "t14_unique_events": (
-        lambda s, d: changes(s, d).select("kind", "entity", (F.col("seq") % 5).alias("generation")).distinct(),
-        f"WITH {CHANGES} SELECT DISTINCT kind, entity, seq % 5 AS generation FROM changes",
-    ),
     "event_windows": (
         lambda s, d: sync.windows(changes(s, d).withColumn("cents", F.floor(F.col("value") * 100)), "ts", "kind", "cents", "1 hour").select(F.unix_seconds("window_start").alias("window_s"), "kind", "n", "total"),
         f"WITH {CHANGES} SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_s, kind, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM changes GROUP BY 1, 2",

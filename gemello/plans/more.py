@@ -39,10 +39,6 @@ CATALOG = {
         lambda s, d: images(s, d).join(edges(s, d).where("distance > 20").select(F.explode(F.array("left", "right")).alias("image_id")).distinct(), "image_id", "left_semi").select("image_id", "width", "height"),
         f"""WITH {EDGES} SELECT image_id, width, height FROM images WHERE image_id IN (SELECT "left" FROM edges WHERE distance > 20 UNION SELECT "right" FROM edges WHERE distance > 20)""",
     ),
-    "s15_complete_videos": (
-        lambda s, d: table(s, d, "conversations").where("turn < 6").groupBy("conv_id").agg(F.count(F.lit(1)).alias("slots"), F.sum((F.length("text") > 40).cast("long")).alias("decoded")).where("slots >= 4 and decoded >= 3"),
-        "SELECT conv_id, count(*) AS slots, count(*) FILTER (length(text) > 40) AS decoded FROM conversations WHERE turn < 6 GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (length(text) > 40) >= 3",
-    ),
     "s17_cache_with_frames": (
         lambda s, d: table(s, d, "conversations").where("turn < 6").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"].cast("string")), ",").alias("frames")),
         "SELECT conv_id, string_agg(length(text)::VARCHAR, ',' ORDER BY turn, length(text)) AS frames FROM conversations WHERE turn < 6 GROUP BY 1",
@@ -58,41 +54,15 @@ CATALOG = {
         lambda s, d: changes(s, d).join(files(s, d).select(F.col("file_id").alias("entity"), "path"), "entity", "left").select("seq", "entity", "path"),
         f"WITH {CHANGES}, {FILES} SELECT seq, entity, path FROM changes LEFT JOIN files ON file_id = entity",
     ),
-    "k02_confirmed_groups": (
-        lambda s, d: cluster.connected_components(edges(s, d).where("distance <= 20")).groupBy("component").agg(F.count(F.lit(1)).alias("n")),
-        f"""WITH RECURSIVE {EDGES}, links AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM edges WHERE distance <= 20 UNION SELECT "right", "left" FROM edges WHERE distance <= 20),
-        reach AS (SELECT DISTINCT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen), c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)
-        SELECT component, count(*) AS n FROM c GROUP BY 1""",
-    ),
-    "k14_frozen_inputs": (
-        lambda s, d: files(s, d).where("status = 'active'").select("content", "size", "machine_id", "path").distinct(),
-        f"WITH {FILES} SELECT DISTINCT content, size, machine_id, path FROM files WHERE status = 'active'",
-    ),
-    "k15_run_candidates": (
-        lambda s, d: edges(s, d).select(F.sha2(F.concat_ws(":", F.lit("run"), "left", "right"), 256).alias("id"), "distance"),
-        f"""WITH {EDGES} SELECT sha256('run:' || "left" || ':' || "right") AS id, distance FROM edges""",
-    ),
-    "k18_published_generation": (
-        lambda s, d: changes(s, d).groupBy("kind").agg(F.max_by("entity", "seq").alias("current"), (F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next")),
-        f"WITH {CHANGES} SELECT kind, arg_max(entity, seq) AS current, coalesce(max(seq), 0) + 1 AS next FROM changes GROUP BY 1",
-    ),
     "k23_stage1_commit": (
         lambda s, d: (lambda f: merge.merged(f.where("disk_no != 2").select("file_id", F.lit(None).cast("bigint").alias("quality"), F.lit("pending").alias("state")), f.where("disk_no != 0").select("file_id", "quality", F.lit("done").alias("state")), ["file_id"], {"quality": "new", "state": "new"}))(files(s, d)),
         f"WITH {FILES} SELECT file_id, CASE WHEN disk_no <> 0 THEN quality END AS quality, CASE WHEN disk_no <> 0 THEN 'done' ELSE 'pending' END AS state FROM files",
     ),
-    "k24_committed_masks": (
-        lambda s, d: files(s, d).select("file_id", (F.lit(31).bitwiseAND(F.bitwise_not(F.col("quality").cast("int").bitwiseAND(31)))).alias("missing")),
-        f"WITH {FILES} SELECT file_id, 31 & ~(quality::INTEGER & 31) AS missing FROM files",
-    ),
     "k26_imported_cache": (
         lambda s, d: (lambda f: merge.merged(f.where("disk_no = 0").select("content", "quality").groupBy("content").agg(F.max("quality").alias("quality")), f.where("disk_no = 1").groupBy("content").agg(F.min("quality").alias("quality")), ["content"], {"quality": "new"}))(files(s, d)),
         f"""WITH {FILES}, o AS (SELECT content, max(quality) AS quality FROM files WHERE disk_no = 0 GROUP BY 1), n AS (SELECT content, min(quality) AS quality FROM files WHERE disk_no = 1 GROUP BY 1)
         SELECT coalesce(o.content, n.content) AS content, coalesce(n.quality, o.quality) AS quality FROM o FULL JOIN n ON n.content = o.content""",
     ),
-    "k27_review_commit": (
-        lambda s, d: (lambda m: m.groupBy("group_id").agg(F.max_by("review", "file_id").alias("mark"), F.max("file_id").alias("by_file")))(members(files(s, d))),
-        f"WITH {MEMBERS} SELECT group_id, arg_max(review, file_id) AS mark, max(file_id) AS by_file FROM members GROUP BY 1",
-    ),
     "p02_unchanged_content": (
         lambda s, d: (lambda m, f: m.join(f.where("status = 'active'").select(F.col("file_id").alias("id"), F.col("content").alias("now"), F.col("size").alias("now_size")), (F.col("file_id") == F.col("id")) & (F.col("group_id") == F.col("now")) & (F.col("size") == F.col("now_size"))).select("group_id", "file_id"))(members(files(s, d)), files(s, d)),
         f"WITH {MEMBERS} SELECT group_id, file_id FROM members",
@@ -134,10 +104,6 @@ CATALOG = {
         lambda s, d: changes(s, d).groupBy(F.least(F.floor(F.log2(F.greatest(F.col("value"), F.lit(1.0)))), F.lit(15)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")),
         f"WITH {CHANGES} SELECT CAST(least(floor(log2(greatest(value, 1.0))), 15) AS BIGINT) AS bucket, count(*) AS n FROM changes GROUP BY 1",
     ),
-    "a20_run_statistics": (
-        lambda s, d: edges(s, d).agg(F.count(F.lit(1)).alias("n_pairs"), F.min("distance").alias("least"), F.max("distance").alias("most"), F.count_distinct("left").alias("n_left")),
-        f'WITH {EDGES} SELECT count(*) AS n_pairs, min(distance) AS least, max(distance) AS most, count(DISTINCT "left") AS n_left FROM edges',
-    ),
     "o07_sorted_pairs": (lambda s, d: edges(s, d).select("left", "right").orderBy("left", "right"), f'WITH {EDGES} SELECT "left", "right" FROM edges ORDER BY 1, 2'),
     "o09_stage_order": (
         lambda s, d: changes(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.when(F.col("kind") == "signup", 0).when(F.col("kind") == "view", 1).when(F.col("kind") == "click", 2).otherwise(9)).orderBy("place", "kind"),
@@ -164,19 +130,11 @@ CATALOG = {
         f"""WITH RECURSIVE {EDGES}{_REACH}
         SELECT component, 'local-' || substr(sha256('run' || chr(0) || 'image' || chr(0) || string_agg(node::VARCHAR, chr(0) ORDER BY node::VARCHAR)), 1, 32) AS group_id FROM components GROUP BY 1""",
     ),
-    "c17_final_barrier": (
-        lambda s, d: edges(s, d).select("left", "right", F.when(F.col("left") % 4 == 0, F.lit("inconclusive")).when(F.col("distance") <= 20, "yes").otherwise("no").alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")),
-        f"""WITH {EDGES} SELECT CASE WHEN "left" % 4 = 0 THEN 'inconclusive' WHEN distance <= 20 THEN 'yes' ELSE 'no' END AS verdict, count(*) AS n FROM edges GROUP BY 1""",
-    ),
     "c19_stage2_batches": (
         lambda s, d: (lambda f: f.withColumn("n", F.row_number().over(Window.partitionBy("machine_id").orderBy("content", "file_id"))).select("machine_id", "file_id", F.floor((F.col("n") - 1) / 7).alias("batch")))(joins.best_copy(files(s, d).where("status = 'active'"), ["content"], [F.col("machine_id"), F.col("path")])),
         f"""WITH {FILES}, b AS (SELECT * FROM files WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY content ORDER BY machine_id, path) = 1)
         SELECT machine_id, file_id, (row_number() OVER (PARTITION BY machine_id ORDER BY content, file_id) - 1) // 7 AS batch FROM b""",
     ),
-    "c21_stage2_sources": (
-        lambda s, d: files(s, d).select("file_id", F.coalesce(F.when(F.col("file_id") % 3 == 0, F.lit("local")), F.when(F.col("file_id") % 2 == 0, F.lit("remote")), F.lit("compute")).alias("origin")).groupBy("origin").agg(F.count(F.lit(1)).alias("n")),
-        f"WITH {FILES} SELECT CASE WHEN file_id % 3 = 0 THEN 'local' WHEN file_id % 2 = 0 THEN 'remote' ELSE 'compute' END AS origin, count(*) AS n FROM files GROUP BY 1",
-    ),
     "c27_selection_digest": (
         lambda s, d: files(s, d).where("review = 'delete'").select("machine_id", F.sha2(F.concat_ws("|", "machine_id", "path", "size", "mtime"), 256).alias("digest")),
         f"WITH {FILES} SELECT machine_id, sha256(machine_id || '|' || path || '|' || size || '|' || mtime) AS digest FROM files WHERE review = 'delete'",
@@ -189,18 +147,6 @@ CATALOG = {
         lambda s, d: files(s, d).groupBy("machine_id", "disk_no").agg(F.count(F.lit(1)).alias("n")).select("machine_id", "disk_no", F.sha2(F.to_json(F.struct("machine_id", "disk_no", "n")), 256).alias("task_id")),
         f"""WITH {FILES} SELECT machine_id, disk_no, sha256('{{"machine_id":"' || machine_id || '","disk_no":' || disk_no || ',"n":' || count(*) || '}}') AS task_id FROM files GROUP BY 1, 2""",
     ),
-    "t07_contents_before_locations": (
-        lambda s, d: (lambda c: c.select("seq", "entity", F.when(F.col("kind") == "signup", 0).otherwise(1).alias("place")).withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("place", "seq"))).select("seq", "n"))(changes(s, d)),
-        f"WITH {CHANGES} SELECT seq, row_number() OVER (PARTITION BY entity ORDER BY CASE WHEN kind = 'signup' THEN 0 ELSE 1 END, seq) AS n FROM changes",
-    ),
-    "t11_revision_gate": (
-        lambda s, d: changes(s, d).groupBy("entity").agg(F.max("seq").alias("revision"), F.max(F.when(F.col("kind") == "purchase", F.col("seq"))).alias("analysed")).select("entity", F.when(F.col("analysed") == F.col("revision"), "valid").otherwise("blocked").alias("state")),
-        f"WITH {CHANGES} SELECT entity, CASE WHEN max(seq) FILTER (kind = 'purchase') = max(seq) THEN 'valid' ELSE 'blocked' END AS state FROM changes GROUP BY 1",
-    ),
-    "t13_late_reports": (
-        lambda s, d: changes(s, d).withColumn("start", F.min("seq").over(Window.partitionBy("entity"))).where(F.col("seq") <= F.col("start") + 3000).groupBy("entity").agg(F.count(F.lit(1)).alias("in_time")),
-        f"WITH {CHANGES}, c AS (SELECT *, min(seq) OVER (PARTITION BY entity) AS start FROM changes) SELECT entity, count(*) AS in_time FROM c WHERE seq <= start + 3000 GROUP BY 1",
-    ),
     "a11_exact_rank_by_machine": (
         lambda s, d: stats.nearest_rank_95(files(s, d), ["machine_id"], "size"),
         f"WITH {FILES}, r AS (SELECT machine_id, size, row_number() OVER (PARTITION BY machine_id ORDER BY size) AS i, count(*) OVER (PARTITION BY machine_id) AS n FROM files) SELECT machine_id, size AS p95 FROM r WHERE i = (95 * n + 99) // 100",

@@ -60,13 +60,13 @@ def test_queries_on_a_larger_set(spark):
     import duckdb
 
     import __spark_entry__ as e
-    from gemello.plans import catalog, extra
+    from gemello.plans import catalog, extra, runs
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_MORE}/{t}.parquet'")
     whole = ["s27_event_batch", "c14_confirmed_groups", "j21_delete_request", "c25_delete_prepare", "s16_ordered_lookup", "s23_ordered_candidates", "s28_container_metadata", "t05_generation_race", "k20_soft_delete", "t08_fair_batch"]
-    for name in [*whole, *extra.CATALOG]:
+    for name in [*whole, *extra.CATALOG, *runs.CATALOG]:
         df = e.queries()[name](spark, SF_MORE)
         cur = con.execute(catalog.ORACLES[name])
         columns = [x[0] for x in cur.description]
