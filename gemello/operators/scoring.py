@@ -61,6 +61,54 @@ def video_verdict(slots: DataFrame, similarity: str = "similarity", valid: str =
     return own.select("left", "right", "n_valid", "n_passed", mean.alias("mean"), F.when(~enough, "inconclusive").when(near, "yes").otherwise("no").alias("verdict"))
 
 
+def video_stage(pairs: DataFrame, frames: DataFrame, key: str, phash: bool, t: Thresholds = G) -> DataFrame:
+    """One stage's verdict of pairs (left, right) of videos (C05): left, right, n_valid, n_passed, mean, verdict and reason.
+
+    frames: the key, slot (0 to 5), parts, hist and error (null or empty: none). A slot is valid if both sides have it
+    without an error. The pHash stage takes the share of near parts, the other one the histograms' cosine; enough by the
+    mean or by slots that pass is yes. Inconclusive are repeated or impossible slots, valid slots without what the stage
+    reads, and too few valid slots, in this order; they publish no mean.
+    """
+    side = frames.select(F.col(key).alias("video"), "slot", F.col("parts" if phash else "hist").alias("x"), (F.coalesce("error", F.lit("")) == "").alias("fine"))
+    wrong = side.groupBy("video").agg((F.max(F.coalesce(~F.col("slot").between(0, 5), F.lit(True))) | (F.count(F.lit(1)) > F.count_distinct("slot"))).alias("wrong"))
+    a, b = (side.select(F.col("video").alias(k), "slot", F.col("x").alias(f"{k}_x"), F.col("fine").alias(f"{k}_fine")) for k in ("left", "right"))
+    rows = pairs.select("left", "right").distinct().join(a, "left").join(b, ["right", "slot"]).where("left_fine and right_fine")
+    lacks = F.col("left_x").isNull() | F.col("right_x").isNull()
+    if phash:
+        n = F.greatest(F.size("left_x"), F.lit(1))
+        sim, bar, enough = passed_parts(F.col("left_x"), F.col("right_x"), t.part_bits) / n, F.lit(float(t.parts)) / n, "phash"
+    else:
+        sim, bar, enough = cosine(F.col("left_x"), F.col("right_x")), F.lit(t.sobel), "sobel"
+    rows = rows.select("left", "right", "slot", lacks.alias("lacks"), F.when(~lacks, sim).alias("sim"), F.when(~lacks, bar).alias("bar"))
+    own = rows.groupBy("left", "right").agg(
+        F.count(F.lit(1)).alias("n_valid"),
+        F.count_if(F.col("sim") >= F.col("bar")).alias("n_passed"),
+        F.sum("sim").alias("total"),
+        F.max("bar").alias("bar"),
+        F.bool_or("lacks").alias("lacks"),
+    )
+    out = pairs.select("left", "right").distinct().join(own, ["left", "right"], "left")
+    for k in ("left", "right"):
+        out = out.join(wrong.select(F.col("video").alias(k), F.col("wrong").alias(f"{k}_wrong")), k, "left")
+    invalid = F.coalesce("left_wrong", F.lit(False)) | F.coalesce("right_wrong", F.lit(False))
+    few = F.coalesce("n_valid", F.lit(0)) < t.video_frames
+    reason = F.when(invalid, "invalid_frames").when(F.col("lacks"), f"invalid_{enough}").when(few, "insufficient_valid_frames")
+    least = F.col("bar") if phash else F.lit(t.video_mean)
+    mean = F.when(reason.isNull(), F.col("total") / F.col("n_valid"))
+    yes = (mean >= least - 1e-12) | (F.col("n_passed") >= t.video_frames)
+    verdict = F.when(reason.isNotNull(), "inconclusive").when(yes, "yes").otherwise("no")
+    why = F.coalesce(reason, F.when(yes, f"{enough}_passed").otherwise(f"{enough}_below_threshold"))
+    zero = F.lit(0).cast("long")
+    return out.select("left", "right", F.coalesce("n_valid", zero).alias("n_valid"), F.coalesce("n_passed", zero).alias("n_passed"), mean.alias("mean"), verdict.alias("verdict"), why.alias("reason"))
+
+
+def video_stages(pairs: DataFrame, frames: DataFrame, key: str, t: Thresholds = G) -> DataFrame:
+    """left, right, verdict and reason: only pairs that pass the pHash stage are judged by histograms."""
+    first = video_stage(pairs, frames, key, True, t).select("left", "right", "verdict", "reason")
+    second = video_stage(first.where("verdict = 'yes'"), frames, key, False, t).select("left", "right", "verdict", "reason")
+    return first.where("verdict <> 'yes'").unionByName(second)
+
+
 def video_joint(slots: DataFrame, t: Thresholds = G) -> DataFrame:
     """Joint verdict of pairs (left, right) from slot rows with l_parts, r_parts, l_hist, r_hist and valid.
 

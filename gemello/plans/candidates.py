@@ -123,11 +123,6 @@ CATALOG = {
         f"""WITH {EDGES} SELECT e."left", e."right", CASE WHEN len(list_filter(range(1, 9), lambda i: bit_count(xor(a.bands8[i], b.bands8[i])) <= 2)) >= 4 AND CAST({_COS_SQL} AS FLOAT) >= 0.3::FLOAT THEN 'passed' ELSE 'rejected' END AS verdict
         FROM edges e JOIN images a ON a.image_id = e."left" JOIN images b ON b.image_id = e."right" """,
     ),
-    "c05_video_stage": (
-        lambda s, d: scoring.video_verdict(_slots(s, d)).select("left", "right", F.col("n_valid").cast("long").alias("n_valid"), F.col("n_passed").cast("long").alias("n_passed"), F.round("mean", 9).alias("mean"), "verdict"),
-        f"""WITH {_SLOT_SQL} SELECT "left", "right", n_valid, n_passed, CASE WHEN n_valid >= 4 THEN round(total / n_valid, 9) END AS mean,
-        CASE WHEN n_valid < 4 THEN 'inconclusive' WHEN total / n_valid >= 0.8 OR n_passed >= 4 THEN 'yes' ELSE 'no' END AS verdict FROM judged""",
-    ),
     "c07_video_stage1_mean": (
         lambda s, d: scoring.video_verdict(_slots(s, d), t=scoring.R).select("left", "right", "verdict"),
         f"""WITH {_SLOT_SQL} SELECT "left", "right", CASE WHEN n_valid < 4 THEN 'inconclusive' WHEN total / n_valid >= 0.8 THEN 'yes' ELSE 'no' END AS verdict FROM judged""",

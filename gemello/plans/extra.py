@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gemello.functions import hashing, media, paths
 from gemello.operators import cluster, groups, scoring
 from gemello.operators.config import Thresholds
-from gemello.plans.candidates import _COS_SQL, _SLOT_SQL, _slots
+from gemello.plans.candidates import _COS_SQL
 from gemello.sources.inventory import CHANGES, FILES, IMAGES, MEMBERS, changes, files, images, members
 from gemello.streaming import sync
 
@@ -94,10 +94,6 @@ CATALOG = {
             SELECT "left", "right", CAST(sum(valid::INT) AS BIGINT) AS n_valid, bool_or(valid AND lacks) AS lacks, sum(CASE WHEN valid AND near THEN c ELSE 0 END) AS total FROM slots GROUP BY 1, 2)
         SELECT "left", "right", n_valid, CASE WHEN n_valid < 4 OR lacks THEN 'incomplete' WHEN total / n_valid >= 0.03 THEN 'passed' ELSE 'rejected' END AS verdict FROM j""",
     ),
-    "a10_video_means": (
-        lambda s, d: scoring.video_verdict(_slots(s, d)).select("left", "right", F.col("n_valid").cast("long").alias("n_valid"), F.col("n_passed").cast("long").alias("n_passed"), F.round("mean", 9).alias("mean")),
-        f'WITH {_SLOT_SQL} SELECT "left", "right", n_valid, n_passed, CASE WHEN n_valid >= 4 THEN round(total / n_valid, 9) END AS mean FROM judged',
-    ),
     "c28_applied_statuses": (
         lambda s, d: _applied(s, d)[1].select("file_id", "status"),
         f"""WITH {MEMBERS}, done AS (SELECT file_id FROM members WHERE review = 'delete' AND file_id % 5 <> 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gemello.operators import cluster, joins, merge, runs
+from gemello.operators import cluster, joins, merge, runs, scoring
 from gemello.operators.config import Thresholds
 from gemello.plans.candidates import _COS_SQL, _REACH, EDGES, edges
 from gemello.sources import tables
@@ -28,6 +28,34 @@ def _rescored(s, d):
     return runs.rescored(edges(s, d), [i.where(F.col("content") % 3 == k) for k in range(3)], _T)
 
 
+def _frames(s, d):
+    """Images as frames of videos of six; some lack parts, some have an error, one video's first slot repeats."""
+    n = F.col("image_id")
+    f = images(s, d).select(
+        F.expr("image_id div 6").alias("video_id"), (n % 6).alias("slot"), F.when(n % 47 != 0, F.col("bands8")).alias("parts"), F.col("embedding").alias("hist"), F.when(n % 7 == 0, "unreadable").otherwise("").alias("error")
+    )
+    return f.unionByName(f.where("video_id = 5 and slot = 0"))
+
+
+def _staged(s, d, judge):
+    f = _frames(s, d)
+    pairs = f.select(F.col("video_id").alias("left")).distinct().select("left", F.explode(F.array(F.col("left") + 1, F.col("left") + 2)).alias("right"))
+    return judge(pairs.where("right <= 84"), f)
+
+
+_FRAMES_SQL = (
+    IMAGES
+    + f""", pairs AS (SELECT DISTINCT a.image_id // 6 AS "left", a.image_id // 6 + k AS "right" FROM images a, range(1, 3) r(k) WHERE a.image_id // 6 + k <= 84),
+slots AS (SELECT "left", "right", coalesce(a.image_id % 47 = 0 OR b.image_id % 47 = 0, FALSE) AS lacks,
+    len(list_filter(range(1, 9), lambda i: bit_count(xor(a.bands8[i], b.bands8[i])) <= 3)) AS near, {_COS_SQL} AS c
+    FROM pairs JOIN images a ON a.image_id // 6 = "left" JOIN images b ON b.image_id // 6 = "right" AND b.image_id % 6 = a.image_id % 6 WHERE a.image_id % 7 <> 0 AND b.image_id % 7 <> 0),
+counted AS (SELECT p."left", p."right", count(near) AS n, coalesce(bool_or(lacks), FALSE) AS lacks, sum(near) AS near, count(*) FILTER (near >= 3) AS near_slots, sum(c) AS c, count(*) FILTER (c >= 0.1) AS c_slots
+    FROM pairs p LEFT JOIN slots s ON s."left" = p."left" AND s."right" = p."right" GROUP BY 1, 2),
+staged AS (SELECT *, CASE WHEN 5 IN ("left", "right") THEN 'invalid_frames' WHEN lacks THEN 'invalid_phash' WHEN n < 4 THEN 'insufficient_valid_frames'
+    WHEN near >= 3 * n OR near_slots >= 4 THEN 'phash_passed' ELSE 'phash_below_threshold' END AS reason FROM counted)"""
+)
+
+
 def _planned(s, d):
     """Images as frames: six in a row are a video's slots, every fifth content is an image."""
     n = F.col("image_id")
@@ -173,7 +201,24 @@ def _run_statistics(s, d):
     return out
 
 
+_T_STAGES = Thresholds(part_bits=3, parts=3, sobel=0.1, video_mean=0.03)
+
 CATALOG = {
+    "c05_phash_stage": (
+        lambda s, d: _staged(s, d, lambda pairs, f: scoring.video_stage(pairs, f, "video_id", True, _T_STAGES)).select("left", "right", F.when(F.col("reason") != "invalid_frames", F.col("n_valid")).alias("n_valid"), F.round("mean", 9).alias("mean"), "verdict", "reason"),
+        f"""WITH {_FRAMES_SQL} SELECT "left", "right", CASE WHEN reason <> 'invalid_frames' THEN n END AS n_valid, CASE WHEN reason LIKE 'phash%' THEN round(near / 8.0::DOUBLE / n, 9) END AS mean,
+            CASE reason WHEN 'phash_passed' THEN 'yes' WHEN 'phash_below_threshold' THEN 'no' ELSE 'inconclusive' END AS verdict, reason
+        FROM staged""",
+    ),
+    "a10_video_means": (
+        lambda s, d: _staged(s, d, lambda pairs, f: scoring.video_stage(pairs, f, "video_id", False, _T_STAGES)).where("reason <> 'invalid_frames'").select("left", "right", "n_valid", "n_passed", F.round("mean", 6).alias("mean")),
+        f"""WITH {_FRAMES_SQL} SELECT "left", "right", n AS n_valid, c_slots AS n_passed, CASE WHEN n >= 4 THEN round(c / n, 6) END AS mean FROM staged WHERE reason <> 'invalid_frames'""",
+    ),
+    "c05_both_stages": (
+        lambda s, d: _staged(s, d, lambda pairs, f: scoring.video_stages(pairs, f, "video_id", _T_STAGES)),
+        f"""WITH {_FRAMES_SQL} SELECT "left", "right", CASE WHEN reason = 'phash_passed' THEN CASE WHEN c / n >= 0.03 OR c_slots >= 4 THEN 'yes' ELSE 'no' END WHEN reason = 'phash_below_threshold' THEN 'no' ELSE 'inconclusive' END AS verdict,
+            CASE WHEN reason = 'phash_passed' THEN CASE WHEN c / n >= 0.03 OR c_slots >= 4 THEN 'sobel_passed' ELSE 'sobel_below_threshold' END ELSE reason END AS reason FROM staged""",
+    ),
     "c16_recovered_traces": (
         lambda s, d: runs.recovered_pairs(_candidate_members(s, d)).select("left", "right", "hamming", "l_quality", "r_quality", "problem"),
         f"""WITH {EDGES} SELECT "left", "right", distance + CASE WHEN "left" % 23 = 0 AND "right" % 23 = 0 THEN 1 ELSE 0 END AS hamming, "left" % 101 AS l_quality, "right" % 101 AS r_quality,
