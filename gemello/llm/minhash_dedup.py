@@ -157,26 +157,30 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
     return appended(documents, ["text"], FIELDS, work, ["doc_id"])
 
 
-def spread(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """left joined with right's one row for each key `on`; right's column n says how many rows of left have that key.
+def spread(left: DataFrame, right: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """left joined with right's one row for each key `on`; counts, a written table, says how many rows n of left have each key.
 
-    Keys with more than a MANYth part of all rows (so MANY at most, whose list is broadcast) are dealt to several tasks.
+    Keys with more than a MANYth part of all rows (so MANY at most, whose list is broadcast) are dealt to several tasks;
+    where none has, the join is a plain one. Plans name the lineages of left and right once: each copy of them takes the
+    driver's memory.
     """
-    total = right.agg(F.sum("n").alias("t"))
-    heavy = right.crossJoin(F.broadcast(total)).where(f"n * {MANY} > t and n > 1").select(F.col(on).alias("__k"), F.ceil(F.col("n") * MANY / F.col("t")).cast("int").alias("__parts"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if not total or most < 2 or most * MANY <= total:
+        return left.join(right, on)
+    heavy = counts.where(f"n * {MANY} > {total} and n > 1").select(F.col(on).alias("__k"), F.ceil(F.col("n") * MANY / total).cast("int").alias("__parts"))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = left.join(F.broadcast(heavy), F.col(on) == F.col("__k"), "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__k", "__parts")
-    copies = right.join(F.broadcast(heavy), F.col(on) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__parts", "n")
-    return dealt.join(copies, [on, "__salt"], how).drop("__salt")
+    copies = right.join(F.broadcast(heavy), F.col(on) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__parts")
+    return dealt.join(copies, [on, "__salt"]).drop("__salt")
 
 
-def _in_reach(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _in_reach(pairs: DataFrame, signatures: DataFrame, percent: int, where: str) -> DataFrame:
     """The pairs (a, b) whose signatures don't rule the link out."""
     least = reach(percent)
     sa = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
     sb = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    both = spread(pairs.join(sb, "b"), sa.join(n, "a"), "a").select("a", "b", "sa", "sb")
+    n = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), where)
+    both = spread(pairs.join(sb, "b"), sa, "a", n).select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -216,7 +220,7 @@ def _wanted(documents: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return through(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted, documents.select("doc_id", "text").schema)
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int, where: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets of their documents."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _wanted(documents, ids, 2 * pairs.count())
@@ -232,8 +236,8 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int)
         return [ok]
 
     ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    both = spread(pairs.join(tb, "b"), ta.join(n, "a"), "a")
+    n = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), where)
+    both = spread(pairs.join(tb, "b"), ta, "a", n)
     return appended(both, ["ta", "tb"], [T.StructField("linked", T.BooleanType())], compare, ["a", "b"]).where("linked").select("a", "b").distinct()
 
 
@@ -269,12 +273,15 @@ def _block(cuts: str):
     return F.expr(f"cast(pmod(xxhash64(rep), {cuts}) as int)")
 
 
-def _tiles(placed: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows (tile, side, rep) of all comparisons that members (key, rep, comp) of buckets still need; counts has rep and n."""
+def _tiles(placed: DataFrame, roots: DataFrame, counts: DataFrame, where: str) -> DataFrame:
+    """Rows (tile, side, rep) of all comparisons that members (key, rep, comp) of buckets still need; counts has rep and n.
+
+    Members outside their bucket's largest component are written to `where`: most parts of the plan begin with them.
+    """
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), F.col("top.comp").alias("main"))
     others = placed.join(main, F.col("key") == F.col("k")).where("comp != main").select("key", "rep", "main")
-    others = others.join(counts, "rep")
+    others = written(others.join(counts, "rep"), where)
     # against the members of the largest component
     left = others.select("main", "rep", "n").distinct()
     mains = left.groupBy("main").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("qn"))
@@ -363,25 +370,26 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(sketches(documents, size), f"{where}/sketches")
     filled = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = filled.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = written(filled.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), f"{where}/classes")
     first = filled.join(classes.select(F.col("rep").alias("r"), F.col("fingerprint").alias("f")), (F.col("doc_id") == F.col("r")) & (F.col("fingerprint") == F.col("f")))
     placed = first.select(F.explode("buckets").alias("key"), F.col("doc_id").alias("rep"))
-    shared = placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").select("key", "hub", "n")
-    members = written(spread(placed, shared, "key").where("rep != hub").select("key", "hub", "rep"), f"{where}/members")
-    pairs = written(_in_reach(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), filled, percent), f"{where}/pairs1")
-    links = written(_confirmed(documents, pairs, size, percent), f"{where}/links1")
+    shared = written(placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").select("key", "hub", "n"), f"{where}/shared")
+    members = written(spread(placed, shared.drop("n"), "key", shared.select("key", "n")).where("rep != hub").select("key", "hub", "rep"), f"{where}/members")
+    pairs = written(_in_reach(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), filled, percent, f"{where}/hubs"), f"{where}/pairs1")
+    links = written(_confirmed(documents, pairs, size, percent, f"{where}/confirmed"), f"{where}/links1")
     roots = components(links, f"{where}/components1")
     placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")).distinct()
     counts = filled.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
-    tiles = written(_near_tiles(_tiles(placed, roots, counts), filled, percent), f"{where}/tiles")
+    tiles = written(_near_tiles(_tiles(placed, roots, counts, f"{where}/others"), filled, percent), f"{where}/tiles")
     found = written(_links_of_tiles(documents, tiles, size, percent), f"{where}/links2")
     if found.limit(1).count():
-        roots = components(links.union(found), f"{where}/components2")
-    for done in ("members", "pairs1", "links1", "tiles", "links2"):
+        # stars of the first step's components stand for its links
+        roots = components(roots.select("node", "root").toDF("a", "b").union(found), f"{where}/components2")
+    for done in ("shared", "members", "hubs", "pairs1", "confirmed", "links1", "others", "tiles", "links2"):
         delete(spark, f"{where}/{done}")
-    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("label"), "n")
+    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("label"))
     # rows that share a doc_id are one document, whatever their texts: the smallest label holds for all
-    label = spread(filled.select(F.col("doc_id").alias("id"), "fingerprint"), of_class, "fingerprint").groupBy("id").agg(F.min("label").alias("label"))
+    label = spread(filled.select(F.col("doc_id").alias("id"), "fingerprint"), of_class, "fingerprint", classes.select("fingerprint", "n")).groupBy("id").agg(F.min("label").alias("label"))
     out = sketch.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("label", "doc_id").alias("component_id")
     return out.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == F.coalesce("label", "doc_id"), F.lit(True)).alias("kept"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gemello.llm import minhash_dedup as m
 
@@ -115,3 +116,28 @@ def test_words_that_polynomial_hashes_confuse():
         assert [len(s) for s in m.shingles(pa.array(texts), size)] == [len(brute_set(t, size)) for t in texts]
     a, b, c, d, _ = m.shingles(pa.array(texts), 2)
     assert len(np.intersect1d(a, b)) == len(brute_set(texts[0], 2) & brute_set(texts[1], 2)) and c[0] != d[0]
+
+
+def test_joins_with_and_without_heavy_keys(spark):
+    for skewed in (False, True):
+        rows = [(k % 3000, k) for k in range(9000)] + [(7, 10_000 + k) for k in range(500 * skewed)]
+        left = spark.createDataFrame(rows, "k long, x long")
+        counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        got = m.spread(left, spark.createDataFrame([(k, -k) for k in range(2, 4000)], "k long, y long"), "k", counts)
+        assert ("__salt" in got._jdf.queryExecution().analyzed().toString()) == skewed
+        assert sorted(map(tuple, got.collect())) == sorted((k, x, -k) for k, x in rows if k >= 2)
+
+
+def test_plans_name_each_lineage_once(spark, monkeypatch):
+    """Copies of a lineage in a plan took more than the driver's memory allows."""
+    plans, write = [], m.written
+
+    def seen(df, where):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df, where)
+
+    monkeypatch.setattr(m, "written", seen)
+    df = spark.createDataFrame(near_copies(3), "doc_id long, text string")
+    out = m.deduplicated(df, 2, 80)
+    plans.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+    assert max(plans) <= 60 and sum(plans) <= 200, plans
